@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import bpe, decontaminate, line_dedup, near_dedup, quality, toxicity
 from .shared import held_out
 
 
@@ -15,27 +16,94 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """Texts with a label, without the rows held out."""
-    labels = _read(spark, sf_dir, "labels").select("doc_id", label).where(F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
-    return _read(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learned: without the rows held out."""
+    return _read(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup_lines(docs)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = toxicity.train(_labelled(spark, sf_dir, "toxic"))
-    found = toxicity.find_toxic(_read(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.find_toxic(docs, toxicity.train(docs, _labels(spark, sf_dir)))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = quality.train(_labelled(spark, sf_dir, "quality"))
-    scored = quality.score_quality(_read(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score_quality(docs, quality.train(docs, _labels(spark, sf_dir)))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size(F.filter("line_good", lambda p: p < 0.5)).alias("n_bad_lines"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.encode_and_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_near_dedup": op2_near_dedup,
+    "op4_decontaminate": op4_decontaminate,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
+    "op10_bpe": op10_bpe,
 }
 
-SQL: dict[str, str] = {}
+_OP1_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS raw
+  FROM documents
+), filled AS (
+  SELECT doc_id, line_no, trim(raw, ' ') AS line FROM lines WHERE trim(raw, ' ') <> ''
+), firsts AS (
+  SELECT line, length(line) AS n, row_number() OVER (ORDER BY min((doc_id, line_no))) AS place, min((doc_id, line_no)) AS origin
+  FROM filled GROUP BY line
+), pairs AS (
+  SELECT a.line AS earlier, b.line AS line, a.n AS m, b.n AS n, b.place FROM firsts a JOIN firsts b
+  ON a.place < b.place AND a.n = b.n AND a.n >= 16 AND left(a.line, a.n // 2) = left(b.line, a.n // 2)
+  UNION ALL
+  SELECT a.line, b.line, a.n, b.n, b.place FROM firsts a JOIN firsts b
+  ON a.place < b.place AND a.n = b.n AND a.n >= 16 AND right(a.line, a.n // 2) = right(b.line, a.n // 2)
+  UNION ALL
+  SELECT a.line, b.line, a.n, b.n, b.place FROM firsts a JOIN firsts b
+  ON a.place < b.place AND a.n = b.n + 1 AND b.n >= 16 AND left(a.line, b.n // 2) = left(b.line, b.n // 2)
+  UNION ALL
+  SELECT a.line, b.line, a.n, b.n, b.place FROM firsts a JOIN firsts b
+  ON a.place < b.place AND a.n = b.n + 1 AND b.n >= 16 AND right(a.line, b.n // 2) = right(b.line, b.n // 2)
+  UNION ALL
+  SELECT a.line, b.line, a.n, b.n, b.place FROM firsts a JOIN firsts b
+  ON a.place < b.place AND a.n + 1 = b.n AND a.n >= 16 AND left(a.line, a.n // 2) = left(b.line, a.n // 2)
+  UNION ALL
+  SELECT a.line, b.line, a.n, b.n, b.place FROM firsts a JOIN firsts b
+  ON a.place < b.place AND a.n + 1 = b.n AND a.n >= 16 AND right(a.line, a.n // 2) = right(b.line, a.n // 2)
+), near AS (
+  SELECT DISTINCT place FROM pairs
+  WHERE len(list_filter(range(greatest(m, n)), lambda i: left(earlier, i) = left(line, i) AND
+    CASE WHEN m = n THEN substring(earlier, i + 2) = substring(line, i + 2)
+         WHEN m > n THEN substring(earlier, i + 2) = substring(line, i + 1)
+         ELSE substring(earlier, i + 1) = substring(line, i + 2) END)) > 0
+), kept AS (
+  SELECT origin FROM firsts WHERE place NOT IN (SELECT place FROM near)
+), result AS (
+  SELECT l.doc_id, l.line_no, l.raw, trim(l.raw, ' ') = '' OR k.origin IS NOT NULL AS stays
+  FROM lines l LEFT JOIN kept k ON k.origin = (l.doc_id, l.line_no)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed,
+  sha256(coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (stays), '')) AS kept_sha256
+FROM result GROUP BY doc_id
+"""
+
+SQL: dict[str, str] = {"op1_line_dedup": _OP1_SQL}
