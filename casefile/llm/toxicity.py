@@ -139,13 +139,22 @@ def _scan(model: Model, batch: pa.RecordBatch):
         yield part, words, scores, [segments(scores[a:b]) if q > p else [] for a, b, p, q in zip(words.doc[:-1], words.doc[1:], positive[:-1], positive[1:], strict=True)]
 
 
-def train(rows: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, most_tokens: int = MOST_TOKENS, least_docs: int = 4, least_z: float = 2.0, prior: float = 500.0, drift: float = 1.0) -> Model:
-    """Fit on labelled ``rows`` (1: toxic), at most ``sample_rows`` of them; rows without a label are left out.
+def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(text, label)`` of the ``rows`` labelled documents of the smallest hash of the id, the label as a boolean.
 
-    Counting runs on the executors; the driver gets at most ``most_tokens`` tokens and three numbers per sampled row.
+    Only ids and labels are sorted; at most ``rows`` of them are broadcast to the documents."""
+    few = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), (F.col(label) == 1).alias("label"), F.xxhash64(F.col(key).cast("string")).alias("h"))
+    few = few.orderBy("h", "id").limit(rows).select("id", "label")
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(few), "id").select("text", "label")
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, most_tokens: int = MOST_TOKENS, least_docs: int = 4, least_z: float = 2.0, prior: float = 500.0, drift: float = 1.0) -> Model:
+    """Fit on the labelled documents (1: toxic), at most ``sample_rows`` of them; null labels are left out.
+
+    Counting runs on the executors; the driver gets at most ``most_tokens`` tokens and a few numbers per sampled row.
     """
-    spark = rows.sparkSession
-    sample = rows.where(F.col(toxic).isNotNull()).select(F.col(text).alias("text"), (F.col(toxic) == 1).alias("toxic"), F.xxhash64(F.col(key).cast("string")).alias("h")).orderBy("h").limit(sample_rows).select("text", "toxic")
+    spark = docs.sparkSession
+    sample = sampled(docs, labels, toxic, sample_rows, key, text).withColumnRenamed("label", "toxic")
     sample = sample.repartition(max(4, spark.sparkContext.defaultParallelism)).persist()
     n = {bool(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
     none = Model(np.zeros(0, U), np.zeros(0), np.zeros(0))
