@@ -17,12 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import fresh
 from .textbytes import SPACE, Grams, Words, slices
-from .toxicity import fit_logistic
+from .toxicity import fit_logistic, sampled
 
 #: Labelled rows learned from at most (those of the smallest hash of the id), and their lines at most per document.
 SAMPLE_ROWS = 3_000
@@ -157,12 +156,12 @@ def _aggregate(model: Model, x: np.ndarray, size: np.ndarray, doc: np.ndarray) -
     return good, np.column_stack([mean, long_bad, repeated, np.log1p(total) / 8])
 
 
-def train(rows: DataFrame, text: str = "text", quality: str = "quality", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, rounds: int = 3, steps: int = 60) -> Model | None:
-    """Fit on labelled ``rows`` (1: good), at most ``sample_rows`` of them; None if they don't hold both classes.
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", quality: str = "quality", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, rounds: int = 3, steps: int = 60) -> Model | None:
+    """Fit on the labelled documents (1: good), at most ``sample_rows`` of them; None if they don't hold both classes.
 
     Features are made on the executors; the driver fits on at most ``sample_rows`` documents' lines.
     """
-    sample = rows.where(F.col(quality).isNotNull()).select(F.col(text).alias("text"), (F.col(quality) == 1).alias("good"), F.xxhash64(F.col(key).cast("string")).alias("h")).orderBy("h").limit(sample_rows)
+    sample = sampled(docs, labels, quality, sample_rows, key, text).withColumnRenamed("label", "good")
 
     def features(batches):
         for batch in batches:
