@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, near_dedup, quality, toxicity
-from .shared import held_out
+from . import ann, bpe, decontaminate, line_dedup, near_dedup, quality, substring_dedup, token_files, toxicity, url_filter
+from .shared import held_out, shared_folder
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,10 +32,26 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    token_files.write_tokens(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), metadata=("source",))
+    return token_files.token_offsets(token_files.read_tokens(spark, folder))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.find_toxic(docs, toxicity.train(docs, _labels(spark, sf_dir)))
@@ -47,6 +64,26 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", F.size(F.filter("line_good", lambda p: p < 0.5)).alias("n_bad_lines"))
 
 
+def _captures(pages: DataFrame) -> DataFrame:
+    """Pages with a time of fetching in 2024 made from their id."""
+    return pages.select("page_id", "url", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id") * 7919 % (366 * 86400)).alias("fetched_at"))
+
+
+def _entries(pages: DataFrame) -> DataFrame:
+    """A dated list made from the pages' hosts: every third page lists its host, every seventh the host's domain."""
+    named = pages.select("page_id", url_filter.host(F.col("url")).alias("host"))
+    domain = F.element_at(url_filter.patterns(F.col("host")), -1)
+    which = F.when(F.col("page_id") % 3 == 0, F.col("host")).when(F.col("page_id") % 7 == 0, domain)
+    action = F.element_at(F.array(F.lit("block"), F.lit("allow"), F.lit("block"), F.lit("remove")), (F.col("page_id") % 4 + 1).cast("int"))
+    return named.select(which.alias("pattern"), action.alias("action"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("page_id") * 31 % 366 * 86400).alias("listed_at"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    out = url_filter.judge_urls(_captures(pages), _entries(pages))
+    return out.select("page_id", F.unix_timestamp("fetched_at").alias("fetched_s"), "blocked", "pattern", F.unix_timestamp("since").alias("since_s"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.encode_and_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -56,9 +93,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_dedup": op2_near_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op5_ann": op5_ann,
+    "op6_token_files": op6_token_files,
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
+    "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
 }
 
@@ -106,4 +147,50 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed,
 FROM result GROUP BY doc_id
 """
 
-SQL: dict[str, str] = {"op1_line_dedup": _OP1_SQL}
+_OP3_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35)
+), repeated AS (
+  SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM windows SEMI JOIN repeated USING (h), (SELECT unnest(range(0, 35)) AS k)
+), each AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM words
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+_OP9_SQL = r"""
+WITH hosts AS (
+  SELECT page_id, 1704067200 + page_id * 7919 % (366 * 86400) AS t,
+    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host
+  FROM pages
+), parts AS (
+  SELECT *, string_split(host, '.') AS p FROM hosts
+), named AS (
+  SELECT page_id, t, list_transform(range(1, greatest(len(p) - 1, 1) + 1), lambda i: array_to_string(p[i:], '.')) AS ps, host FROM parts
+), entries AS (
+  SELECT CASE WHEN page_id % 3 = 0 THEN host WHEN page_id % 7 = 0 THEN ps[-1] END AS pattern,
+    CASE page_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS weight,
+    1704067200 + page_id * 31 % 366 * 86400 AS since
+  FROM named
+), dated AS (
+  SELECT pattern, since, max(weight) AS weight FROM entries WHERE pattern IS NOT NULL GROUP BY ALL
+), held AS (
+  SELECT *, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM dated
+), judged AS (
+  SELECT page_id, h.pattern, weight, since, row_number() OVER (PARTITION BY page_id ORDER BY length(h.pattern) DESC) AS n
+  FROM (SELECT page_id, t, unnest(ps) AS pattern FROM named) a JOIN held h
+  ON a.pattern = h.pattern AND h.weight > 0 AND h.since <= a.t AND (h.until IS NULL OR a.t < h.until)
+)
+SELECT a.page_id, a.t AS fetched_s, coalesce(weight = 2, false) AS blocked, j.pattern, j.since AS since_s
+FROM named a LEFT JOIN judged j ON a.page_id = j.page_id AND n = 1
+"""
+
+SQL: dict[str, str] = {"op1_line_dedup": _OP1_SQL, "op3_substring_dedup": _OP3_SQL, "op9_url_filter": _OP9_SQL}
