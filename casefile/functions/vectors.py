@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _norm(c: Column) -> Column:
@@ -27,12 +28,12 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (length(a) * length(b))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_vector(v: pd.Series) -> pd.Series:
     """Little-endian 32-bit floats; null stays null."""
     return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(b: pd.Series) -> pd.Series:
     return b.map(lambda x: None if x is None else np.frombuffer(x, "<f4"))

@@ -57,11 +57,10 @@ def chat_titles(messages: DataFrame, chars: int = 60, most: int = 80) -> DataFra
 
 def delete_chats(chats: DataFrame, messages: DataFrame, requests: DataFrame, shared: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Chats and messages without the owned chats asked for, and ``requests`` with ``ok``."""
-    gone = owned(requests, chats, shared).select("chat_id").distinct()
-    yes = owned(requests, chats, shared).select("chat_id", "owner").distinct().withColumn("_ok", F.lit(True))
-    on = (requests["chat_id"] == yes["chat_id"]) & requests["owner"].eqNullSafe(yes["owner"])
-    told = requests.join(yes, on, "left").select(*[requests[c] for c in requests.columns], F.coalesce("_ok", F.lit(False)).alias("ok"))
-    return chats.join(gone, chats["id"] == gone["chat_id"], "left_anti"), messages.join(gone, "chat_id", "left_anti"), told
+    gone = owned(requests, chats, shared).select(F.col("chat_id").alias("_gone")).distinct()
+    yes = owned(requests, chats, shared).select(F.col("chat_id").alias("_chat"), F.col("owner").alias("_by"), F.lit(True).alias("_ok")).distinct()
+    told = requests.join(yes, (F.col("chat_id") == F.col("_chat")) & F.col("owner").eqNullSafe(F.col("_by")), "left").select(*requests.columns, F.coalesce("_ok", F.lit(False)).alias("ok"))
+    return chats.join(gone, F.col("id") == F.col("_gone"), "left_anti"), messages.join(gone, F.col("chat_id") == F.col("_gone"), "left_anti"), told
 
 
 def route_asks(asks: DataFrame, chats: DataFrame, shared: bool = False) -> DataFrame:

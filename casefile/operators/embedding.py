@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import cosine
 
@@ -33,7 +34,7 @@ def embed_column(df: DataFrame, column: str, make_embedder: Callable[[], Callabl
     """``df`` with the vector of ``column``. The embedder is made once per worker and gets ``batch`` texts at a time; a
     reply that fails or is short is asked for again one text at a time. Null or empty texts get null."""
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embed = make_embedder()
         for part in parts:
