@@ -43,21 +43,20 @@ def vector_topn(queries: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
 
         def run(batches):
             ids, matrix = shared.value
-            best: list[pd.DataFrame | None] = [None] * len(ids)
+            held = [(np.zeros(0, "U1"), np.zeros(0, np.int32), np.zeros(0))] * len(ids)
             for batch in batches:
                 if not len(batch) or not ids:
                     continue
-                batch = batch.sort_values(["decision_id", "idx"], kind="stable").reset_index(drop=True)
-                sims = np.round(_unit(batch["vec"].tolist()) @ matrix.T, 12)
-                for q in range(len(ids)):
-                    s = sims[:, q]
+                names, places = batch["decision_id"].to_numpy().astype(str), batch["idx"].to_numpy()
+                sims = np.round(matrix @ _unit(batch["vec"].tolist()).T, 12)
+                for q, s in enumerate(sims):
                     top = np.flatnonzero(s >= np.partition(s, len(s) - n)[len(s) - n]) if len(s) > n else np.arange(len(s))
-                    new = pd.DataFrame({"decision_id": batch["decision_id"].to_numpy()[top], "idx": batch["idx"].to_numpy()[top], "sim": s[top]})
-                    new = new if best[q] is None else pd.concat([best[q], new])
-                    best[q] = new.sort_values(["sim", "decision_id", "idx"], ascending=[False, True, True]).head(n)
-            for q, top in enumerate(best):
-                if top is not None:
-                    yield top.assign(query_id=ids[q])[["query_id", "decision_id", "idx", "sim"]]
+                    d, i, v = (np.concatenate([x, y[top]]) for x, y in zip(held[q], (names, places, s), strict=True))
+                    order = np.lexsort((i, d, -v))[:n]
+                    held[q] = d[order], i[order], v[order]
+            for q, (d, i, v) in enumerate(held):
+                if len(d):
+                    yield pd.DataFrame({"query_id": ids[q], "decision_id": d, "idx": i, "sim": v})
 
         return rows.mapInPandas(run, f"query_id {id_type}, decision_id string, idx int, sim double")
 
