@@ -34,7 +34,8 @@ def incremental_refresh(spark: SparkSession, landing: str, root: str, checkpoint
 
 
 def stream_assemble_turns(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """``assemble_turns`` on a stream of tokens (update mode); a turn's state goes when it is ``late`` without tokens."""
+    """``assemble_turns`` on a stream of tokens (append mode): a turn comes out, and its state goes, when it has had no
+    token for ``late``. Turns broken off in the middle come out as far as they went."""
     turns = events.withWatermark("ts", late).groupBy("turn_id", F.session_window("ts", late).alias("w")).agg(*turn_aggregates())
     return turns.where("text != ''").select("turn_id", "text", "sources")
 

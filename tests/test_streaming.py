@@ -33,11 +33,10 @@ def test_feed_and_refresh(spark, tmp_path):
     assert state()["1"] == ("embedded", 2) and sorted((r["decision_id"], r["idx"]) for r in P.current(spark, root, "chunks").collect()) == texts
 
 
-def streamed(spark, tmp_path, rows, schema, job, mode):
+def streamed(spark, tmp_path, rows, schema, job, mode, name):
     for i in range(0, len(rows), 3):
         spark.createDataFrame(rows[i : i + 3], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    name = f"out_{mode}"
     q = job(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
@@ -45,14 +44,15 @@ def streamed(spark, tmp_path, rows, schema, job, mode):
 
 def test_turns_stream(spark, tmp_path):
     rows = [(t, s, T0 + dt.timedelta(seconds=s), f"{t}.{s} ", None) for s in range(6) for t in (1, 2)]
-    out = streamed(spark, tmp_path, rows, schemas.EVENTS, jobs.stream_assemble_turns, "update")
-    longest = {r["turn_id"]: r["text"] for r in sorted(out.collect(), key=lambda r: len(r["text"]))}
+    last = [(9, 99, T0 + dt.timedelta(hours=1), "later", None)]
+    out = streamed(spark, tmp_path, rows + last, schemas.EVENTS, jobs.stream_assemble_turns, "append", "turns")
+    got = {r["turn_id"]: r["text"] for r in out.collect()}
     batch = {r["turn_id"]: r["text"] for r in H.assemble_turns(spark.createDataFrame(rows, schemas.EVENTS)).collect()}
-    assert longest == batch
+    assert got == batch
 
 
 def test_debounce_stream(spark, tmp_path):
     rows = [(1, i, T0 + dt.timedelta(milliseconds=100 * i if i < 5 else 5000 + 100 * i), f"query{i}") for i in range(9)]
     last = [(1, 99, T0 + dt.timedelta(hours=1), "end of log")]
-    out = streamed(spark, tmp_path, rows + last, schemas.KEYSTROKES, jobs.stream_debounce, "append")
+    out = streamed(spark, tmp_path, rows + last, schemas.KEYSTROKES, jobs.stream_debounce, "append", "queries")
     assert sorted(r["text"] for r in out.collect()) == ["query4", "query8"]
