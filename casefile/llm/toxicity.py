@@ -29,6 +29,8 @@ from .textbytes import NOT_ALNUM, U, Words, lowered, slices
 
 #: Training rows at most (those of the smallest hash of the id) and model tokens at most (the most significant).
 SAMPLE_ROWS, MOST_TOKENS = 12_000, 60_000
+#: The calibration scores each fold of the sample with the tokens of the others, as new texts would be scored.
+FOLDS = 4
 PREFIXES = (None, 4, 5, 6)
 _BLOOM = 1 << 22
 
@@ -43,14 +45,14 @@ def _tokens(words: Words) -> list[np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token, documents of each label that hold it."""
+    """Token, documents of each label and fold that hold it."""
     for batch in batches:
         for part, data, offsets in slices(batch, "text"):
             words = Words(lowered(data), offsets, NOT_ALNUM)
             row = np.repeat(np.arange(len(offsets) - 1), np.diff(words.doc))
-            toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
-            for h in _tokens(words):
-                seen = h != 0
+            toxic, fold = part.column("toxic").to_numpy(zero_copy_only=False).astype(bool), part.column("fold").to_numpy()[row]
+            for h, f in ((h, f) for h in _tokens(words) for f in range(FOLDS)):
+                seen = (h != 0) & (fold == f)
                 order = np.lexsort((row[seen], h[seen]))
                 hs, rs = h[seen][order], row[seen][order]
                 first = np.ones(len(hs), bool)
@@ -60,7 +62,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(values):
                     bad = np.add.reduceat(bad.astype(np.int64), starts)
                     total = np.diff(np.append(starts, len(hs)))
-                    yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(bad), pa.array(total - bad)], ["token", "n_toxic", "n_clean"])
+                    yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(bad), pa.array(total - bad), pa.array(np.full(len(values), f, np.int32))], ["token", "n_toxic", "n_clean", "fold"])
 
 
 @dataclass
@@ -140,12 +142,12 @@ def _scan(model: Model, batch: pa.RecordBatch):
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(text, label)`` of the ``rows`` labelled documents of the smallest hash of the id, the label as a boolean.
+    """``(text, label, h)`` of the ``rows`` labelled documents of the smallest hash of the id, the label as a boolean.
 
     Only ids and labels are sorted; at most ``rows`` of them are broadcast to the documents."""
     few = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), (F.col(label) == 1).alias("label"), F.xxhash64(F.col(key).cast("string")).alias("h"))
-    few = few.orderBy("h", "id").limit(rows).select("id", "label")
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(few), "id").select("text", "label")
+    few = few.orderBy("h", "id").limit(rows).select("id", "label", "h")
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(few), "id").select("text", "label", "h")
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, most_tokens: int = MOST_TOKENS, least_docs: int = 4, least_z: float = 2.0, prior: float = 500.0, drift: float = 1.0) -> Model:
@@ -154,33 +156,43 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "
     Counting runs on the executors; the driver gets at most ``most_tokens`` tokens and a few numbers per sampled row.
     """
     spark = docs.sparkSession
-    sample = sampled(docs, labels, toxic, sample_rows, key, text).withColumnRenamed("label", "toxic")
+    sample = sampled(docs, labels, toxic, sample_rows, key, text).select("text", F.col("label").alias("toxic"), F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"))
     sample = sample.repartition(max(4, spark.sparkContext.defaultParallelism)).persist()
-    n = {bool(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
-    none = Model(np.zeros(0, U), np.zeros(0), np.zeros(0))
-    if len(n) < 2:
+    n = {(r["toxic"], r["fold"]): r["count"] for r in sample.groupBy("toxic", "fold").count().collect()}
+    size = {y: sum(v for (label, _), v in n.items() if label == y) for y in (True, False)}
+    if not all(size.values()):
         sample.unpersist()
-        return none
-    counts = sample.mapInArrow(_count, "token long, n_toxic long, n_clean long").groupBy("token").agg(F.sum("n_toxic").alias("t"), F.sum("n_clean").alias("c")).where(F.col("t") + F.col("c") >= least_docs)
-    alpha = prior * (F.col("t") + F.col("c")) / (n[True] + n[False])
-    rest = prior * (1 - (F.col("t") + F.col("c")) / (n[True] + n[False]))
-    side = lambda y, size: F.log((y + alpha + 0.01) / (size - y + rest + 0.01))
-    odds = side(F.col("t"), n[True]) - side(F.col("c"), n[False])
-    z = odds / F.sqrt(1 / (F.col("t") + alpha + 0.01) + 1 / (F.col("c") + alpha + 0.01))
-    # The prior pulls the odds of rare tokens to 0; the score itself is the odds without it, held back by the count.
-    plain = F.log((F.col("t") + 0.1) / (n[True] + 0.2)) - F.log((F.col("c") + 0.1) / (n[False] + 0.2))
-    kept = counts.select("token", F.greatest(F.lit(-3.0), F.least(F.lit(8.0), plain)).alias("odds"), F.abs(z).alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "token").limit(most_tokens).toPandas()
-    tokens = kept["token"].to_numpy().astype(np.int64).view(U)
-    order = np.argsort(tokens)
-    model = Model(tokens[order], kept["odds"].to_numpy(float)[order], kept["z"].to_numpy(float)[order], drift)
+        return Model(np.zeros(0, U), np.zeros(0), np.zeros(0))
+    counts = sample.mapInArrow(_count, "token long, n_toxic long, n_clean long, fold int").groupBy("token")
+    of = lambda c, f: F.sum(F.when(F.col("fold") != f, F.col(c)).otherwise(0))
+    counts = counts.agg(*[of(c, f).alias(f"{c}{f}") for c in ("n_toxic", "n_clean") for f in range(-1, FOLDS)])
+    columns = []
+    for f in range(-1, FOLDS):
+        t, c, nt, nc = F.col(f"n_toxic{f}"), F.col(f"n_clean{f}"), *(size[y] - n.get((y, f), 0) for y in (True, False))
+        alpha = prior * (t + c) / max(1, nt + nc)
+        side = lambda y, of_all, alpha=alpha: F.log((y + alpha + 0.01) / (of_all - y + prior - alpha + 0.01))
+        z = (side(t, nt) - side(c, nc)) / F.sqrt(1 / (t + alpha + 0.01) + 1 / (c + alpha + 0.01))
+        # The prior decides what is significant; the score is the plain log-odds, which it would pull to 0.
+        plain = F.log((t + 0.1) / (nt + 0.2)) - F.log((c + 0.1) / (nc + 0.2))
+        columns += [F.greatest(F.lit(-3.0), F.least(F.lit(8.0), plain)).alias(f"odds{f}"), F.when((F.abs(z) >= least_z) & (t + c >= least_docs), F.abs(z)).otherwise(0.0).alias(f"z{f}")]
+    kept = counts.select("token", *columns).withColumn("z", F.greatest(*[f"z{f}" for f in range(-1, FOLDS)])).where("z > 0").orderBy(F.desc("z"), "token").limit(most_tokens).toPandas()
+    kept["token"] = kept["token"].to_numpy().astype(np.int64).view(U)
+    kept = kept.sort_values("token")
+
+    def fitted(f: int) -> Model:
+        own = kept[kept[f"z{f}"] > 0]
+        return Model(own["token"].to_numpy(), own[f"odds{f}"].to_numpy(float), own[f"z{f}"].to_numpy(float), drift)
+
+    model, others = fitted(-1), [fitted(f) for f in range(FOLDS)]
 
     def measure(batches):
         for batch in batches:
-            for part, words, scores, found in _scan(model, batch):
-                bad = part.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
-                clean = np.repeat(~bad, np.diff(words.doc))
-                values, share = np.unique(np.round(scores[clean] * 4) / 4, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(bad), pa.array(np.diff(words.doc)), pa.array([max((s for *_, s in x), default=0.0) for x in found]), pa.array([[s for *_, s in x] for x in found], pa.list_(pa.float64())), pa.array([dict(zip(values.tolist(), share.tolist(), strict=True))] + [None] * (len(found) - 1), pa.map_(pa.float64(), pa.int64()))], ["toxic", "n", "best", "each", "clean"])
+            for f, other in enumerate(others):
+                for part, words, scores, found in _scan(other, batch.filter(pa.array(batch.column("fold").to_numpy() == f))):
+                    bad = part.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
+                    clean = np.repeat(~bad, np.diff(words.doc))
+                    values, share = np.unique(np.round(scores[clean] * 4) / 4, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(bad), pa.array(np.diff(words.doc)), pa.array([max((s for *_, s in x), default=0.0) for x in found]), pa.array([[s for *_, s in x] for x in found], pa.list_(pa.float64())), pa.array([dict(zip(values.tolist(), share.tolist(), strict=True))] + [None] * (len(found) - 1), pa.map_(pa.float64(), pa.int64()))], ["toxic", "n", "best", "each", "clean"])
 
     seen = sample.mapInArrow(measure, "toxic boolean, n long, best double, each array<double>, clean map<double,long>").toPandas()
     sample.unpersist()
