@@ -7,7 +7,9 @@ keyed by each place; lines that share a key are within one edit, so a minimum pe
 without forming pairs inside the group; the pair with the earliest line is verified with ``levenshtein``.
 
 Only lines that share their first or last half with another line can be within one edit (the edit touches one half
-at most), so only those emit variants, and only of the other half: a filter that loses nothing.
+at most). The other half is narrowed in the same way, to one of 16 parts, twice. Lines that share no such part with
+another leave, the others emit the variants of the part that is left: a filter that loses nothing, and whose variants
+grow little with the length of a line.
 
 Defined results. Order is (id, hash of the text, line number); earlier lines count even if they go themselves, so
 the result does not depend on any order of work. Lines are parts between line breaks, compared without surrounding
@@ -27,13 +29,16 @@ from .shared import cut, fresh
 MIN_NEAR = 16
 
 
+#: Keys, or ids of documents with suspect lines, up to which they are broadcast; beyond, the join is a shuffle.
+BROADCAST_ROWS = 250_000
+
+
 def _half_keys(line: Column, n: Column) -> list[Column]:
-    """Keys of the first and the last p characters, p the power of two up to half the length (and the one below,
-    where a line shorter by one has that)."""
-    p = F.pow(F.lit(2), F.floor(F.log2(F.greatest(n, F.lit(2)) / 2))).cast("int")
-    both = lambda q: [F.xxhash64(F.lit("first"), q, F.substr(line, F.lit(1), q)), F.xxhash64(F.lit("last"), q, F.substr(line, n - q + 1, q))]
-    edge = (p * 2 == n) & (p > 1)
-    return both(p) + [F.when(edge, k) for k in both((p / 2).cast("int"))]
+    """Keys of the first and the last half, for pairs whose shorter line has n characters, then n - 1.
+
+    Of two lines within one edit, the shorter one of m characters, the first or the last m // 2 characters agree."""
+    both = lambda m: [F.xxhash64(F.lit("first"), m, F.substr(line, F.lit(1), F.floor(m / 2).cast("int"))), F.xxhash64(F.lit("last"), m, F.substr(line, n - F.floor(m / 2).cast("int") + 1))]
+    return both(n) + both(n - 1)
 
 
 def _variants(rest: Column, key: Column) -> Column:
@@ -45,28 +50,57 @@ def _variants(rest: Column, key: Column) -> Column:
     return F.array_distinct(F.concat(holes, gaps))
 
 
+def _narrowed(rows: DataFrame, blocks: int = 16) -> DataFrame:
+    """Rows ``(h1, h2, at, key, base, rest)`` with each rest cut to the block that holds the edit, as far as lines agree.
+
+    ``base`` is the length of the shorter rest of a pair under ``key``. Two rests within one edit agree in all but one of
+    ``blocks`` parts, counted from the left before it and from the right after it; lines that share no such key leave."""
+    cut_at = lambda b: F.floor(F.col("base") * b / blocks).cast("int")
+    n = F.length("rest")
+
+    def part(b: Column) -> Column:
+        low, right = cut_at(b), F.col("base") - cut_at(b + 1)
+        key = F.xxhash64("key", b, F.substr("rest", F.lit(1), low), F.substr("rest", n - right + 1))
+        return F.struct(key.alias("key"), low.alias("low"), right.alias("right"))
+
+    each = rows.select("h1", "h2", "at", "rest", "base", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), part)).alias("p"))
+    again = each.groupBy("p.key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    kept = each.join(again, each["p.key"] == again["key"], "left_semi")
+    rest = F.substr("rest", F.col("p.low") + 1, n - F.col("p.low") - F.col("p.right"))
+    return cut(kept.select("h1", "h2", "at", F.col("p.key").alias("key"), (F.col("base") - F.col("p.low") - F.col("p.right")).alias("base"), rest.alias("rest")))
+
+
+def _checked(df: DataFrame) -> DataFrame:
+    """``df`` kept in the shared folder, marked for broadcast if it has few enough rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def near_lines(distinct: DataFrame, rows: DataFrame) -> DataFrame:
     """Hashes ``(h1, h2)`` of distinct lines that have an earlier line within one edit."""
-    keys = distinct.where("n_near is not null").select("h1", "h2", "at", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key"), "n_near").where("key is not null")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    suspects = keys.join(shared, "key")
+    keys = distinct.where("n_near is not null").select("h1", "h2", "at", F.explode(F.array("k0", "k1", "k2", "k3")).alias("key")).where("key is not null")
+    shared = _checked(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     at = F.col("at")
-    text = rows.join(suspects.select("h1", "h2", "at", "key", "n_near", at["id"].alias("sid"), at["k"].alias("sk")), F.col("id").eqNullSafe(F.col("sid")) & (F.col("k") == F.col("sk")))
+    suspects = cut(keys.join(shared, "key").select("h1", "h2", "at", "key", at["id"].alias("sid"), at["k"].alias("sk")))
+    held = _checked(suspects.select("sid", "sk").distinct())
+    same = F.col("id").eqNullSafe(F.col("sid")) & (F.col("k") == F.col("sk"))
+    text = rows.join(held, same, "left_semi").join(suspects, same)
     line = F.trim(F.get(F.split("text", "\n", -1), at["line"]))
-    text = text.select("h1", "h2", "at", "key", line.alias("line"))
-    n = F.length("line")
-    k0, k1, k2, k3 = _half_keys(F.col("line"), n)
-    p = F.pow(F.lit(2), F.floor(F.log2(F.greatest(n, F.lit(2)) / 2))).cast("int")
-    q = (p / 2).cast("int")
-    key = F.col("key")
-    rest = F.when(key == k0, F.substr("line", p + 1)).when(key == k1, F.substr("line", F.lit(1), n - p)).when(key == k2, F.substr("line", q + 1)).otherwise(F.substr("line", F.lit(1), n - q))
-    variants = text.select("h1", "h2", "at", F.explode(_variants(rest, key)).alias("variant"))
+    text = cut(text.select("h1", "h2", "at", "key", line.alias("line")).distinct())
+    n, key = F.length("line"), F.col("key")
+    own = _half_keys(F.col("line"), n)
+    half = lambda m: F.floor(m / 2).cast("int")
+    base = F.when(key.isin(own[0], own[1]), n).otherwise(n - 1)
+    rest = F.when(key.isin(own[0], own[2]), F.substr("line", half(F.col("base")) + 1)).otherwise(F.substr("line", F.lit(1), n - half(F.col("base"))))
+    small = text.withColumn("base", base).select("h1", "h2", "at", "key", (F.col("base") - half(F.col("base"))).alias("base"), rest.alias("rest"))
+    small = _narrowed(_narrowed(small))
+    variants = small.select("h1", "h2", "at", F.explode(_variants(F.col("rest"), F.col("key"))).alias("variant"))
     first = variants.groupBy("variant").agg(F.min(F.struct("at", "h1", "h2")).alias("first"), F.count("*").alias("n")).where("n > 1")
     pairs = variants.join(first, "variant").where("at > first.at").select("h1", "h2", F.col("first.h1").alias("e1"), F.col("first.h2").alias("e2")).distinct()
     lines = text.select("h1", "h2", "line").distinct()
     earlier = lines.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("earlier"))
     close = pairs.join(lines, ["h1", "h2"]).join(earlier, ["e1", "e2"])
-    return close.where(F.levenshtein("line", "earlier", 1).between(0, 1)).select("h1", "h2").distinct()
+    return cut(close.where(F.levenshtein("line", "earlier", 1).between(0, 1)).select("h1", "h2").distinct())
 
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_near: int = MIN_NEAR) -> DataFrame:
@@ -79,7 +113,7 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_nea
     line = F.col("line")
     lines = plain.select("id", "k", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).select("id", "k", "line_no", F.trim("raw").alias("line")).where("line != ''")
     n = F.length(line)
-    lines = lines.select(F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"), F.struct("id", "k", F.col("line_no").alias("line")).alias("at"), F.when(n >= min_near, n).alias("n_near"), *[F.when(n >= min_near - 1, key).alias(f"k{i}") for i, key in enumerate(_half_keys(line, n))])
+    lines = lines.select(F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"), F.struct("id", "k", F.col("line_no").alias("line")).alias("at"), F.when(n >= min_near, n).alias("n_near"), *[F.when(n >= (min_near if i < 2 else min_near + 1), key).alias(f"k{i}") for i, key in enumerate(_half_keys(line, n))])
     distinct = cut(lines.groupBy("h1", "h2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("n_near", "k0", "k1", "k2", "k3")]))
     kept = distinct.join(near_lines(distinct, plain), ["h1", "h2"], "left_anti")
     kept = kept.groupBy(F.col("at.id").alias("kid"), F.col("at.k").alias("kk")).agg(F.collect_list("at.line").alias("kept"))
