@@ -195,7 +195,7 @@ def _(spark, d):
 
 _KEYWORD_SQL = f"""WITH {_DECISIONS}, {_CHUNKS}, {_QUERIES}
 SELECT query_id, decision_id, idx, len(list_filter({_TOKENS.format("asked.text")}, lambda t: contains({_NORM.format("chunks.text")}, t))) AS hits,
-  CASE WHEN list_contains({_NUMBERS.format("asked.text")}, regexp_replace(number, '[^0-9]', '', 'g')) THEN 0.25 ELSE 0.0 END AS boost
+  CASE WHEN list_contains({_NUMBERS.format("asked.text")}, regexp_replace(number, '[^0-9]', '', 'g')) THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS boost
 FROM asked JOIN decisions ON decisions.doc_id % 40 = query_id % 40 JOIN chunks ON decision_id = decisions.id"""
 
 
