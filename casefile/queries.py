@@ -22,7 +22,7 @@ from .operators import feed as P
 from .operators import ranking as R
 from .operators import tables as U
 from .plans import search as S
-from .sources.readers import results_json
+from .sources.readers import extract_pages, results_json
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -635,3 +635,35 @@ SELECT user_id, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS settled_at, trim(ma
 @_query("debounce_queries", _DEBOUNCE_SQL)
 def _(spark, d):
     return H.debounce_queries(A.query_log(spark, d), "6 hours").select("user_id", F.date_format("settled_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("settled_at"), "text")
+
+
+# --- feeds, pages and token lines made from the given tables ----------------------------------------------------
+
+def _feed(spark, d):
+    """Feed rows of the decisions; every seventh has no link."""
+    link = F.when(F.col("id").cast("long") % 7 != 0, F.concat(F.lit("<a href='"), "pdf_url", F.lit("'>")))
+    cells = F.array(F.col("id"), F.concat(F.lit(" "), "dtype"), F.concat(F.lit("01/01/"), "year"), link, F.lit(None).cast("string"))
+    return A.decisions(spark, d).select(F.lit(9).cast("long").alias("recordsTotal"), cells.alias("cells"))
+
+
+@_query("parse_feed_rows", f"WITH {_DECISIONS} SELECT id, number, year, dtype, pdf_url, '01/01/' || year AS source_date FROM decisions WHERE doc_id % 7 <> 0")
+def _(spark, d):
+    return P.parse_feed_rows(_feed(spark, d)).select("id", "number", "year", "dtype", "pdf_url", "source_date")
+
+
+@_query("feed_tallies", f"WITH {_DECISIONS} SELECT count(*) FILTER (doc_id % 7 <> 0) AS saved, count(*) FILTER (doc_id % 7 = 0) AS skipped, 9::BIGINT AS announced FROM decisions")
+def _(spark, d):
+    return P.feed_tallies(_feed(spark, d))
+
+
+@_query("extract_pages", "SELECT CAST(doc_id AS VARCHAR) AS decision_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS page, unnest(string_split(text, chr(10))) AS text FROM documents")
+def _(spark, d):
+    docs = A.pages(spark, d).select("decision_id", F.encode(F.translate("text", "\n", "\f"), "UTF-8").alias("content"))
+    return extract_pages(docs).select("decision_id", F.col("page").cast("long").alias("page"), "text")
+
+
+@_query("parse_token_lines", "SELECT user_id AS turn_id, event_id AS seq, event_type AS token FROM events WHERE event_id % 5 > 1")
+def _(spark, d):
+    n = F.col("seq") % 5
+    line = F.when(n == 0, F.lit("data: [DONE]")).when(n == 1, F.lit(": wait")).otherwise(F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), "token", F.lit('"}}]}')))
+    return H.parse_token_lines(A.token_events(spark, d).withColumn("line", line), "openai").select("turn_id", "seq", "token")
