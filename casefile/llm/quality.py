@@ -36,6 +36,8 @@ _CLASSES = [
     lambda b: b == 124,  # bar
 ]
 _CLASS = np.array([next((i for i, f in enumerate(_CLASSES) if f(b)), len(_CLASSES)) for b in range(256)])
+#: A share of one over this already counts as full: bars between words are a tenth of a line.
+_FULL = (1, 1, 1, 4, 4, 6, 6, 8)
 OWN = len(_CLASSES) + 7
 
 
@@ -63,7 +65,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     own = np.zeros((n, OWN))
     for i in range(len(_CLASSES)):
         sums = np.concatenate([[0], np.cumsum(_CLASS[data] == i)])
-        own[:, i] = (sums[end] - sums[start]) / np.maximum(size, 1)
+        own[:, i] = np.minimum(_FULL[i] * (sums[end] - sums[start]) / np.maximum(size, 1), 1)
     words = Words(data, offsets, SPACE)
     h = words.hashes()
     first = np.searchsorted(words.start, start)
