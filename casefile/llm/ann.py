@@ -116,10 +116,25 @@ def _best(score: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([above, np.flatnonzero(score == least)[: n - len(above)]])
 
 
-def nearest(vectors: DataFrame, queries: Column, id: str = "vec_id", vec: str = "embedding", k: int = 5, rerank: int = 120, probe: float = 0.3) -> DataFrame:
+def _probes(index: Index, sample: np.ndarray, k: int, recall: float, queries: int = 256) -> int:
+    """Cells to look at so that ``recall`` of the sample's own nearest neighbours are in them. Neighbours in the whole
+    table are nearer than those in its sample, so the share there is no less."""
+    if len(index.cells) == 1:
+        return 1
+    order = index.cell(sample[:queries], len(index.cells))
+    place = np.argsort(order, 1)
+    sims = sample[:queries] @ sample.T
+    sims[np.arange(len(sims)), np.arange(len(sims))] = -2
+    near = np.argpartition(-sims, min(k, sims.shape[1] - 1), 1)[:, :k]
+    ranks = np.take_along_axis(place, index.cell(sample)[:, 0][near], 1)
+    return int(np.quantile(ranks, recall, method="higher")) + 1
+
+
+def nearest(vectors: DataFrame, queries: Column, id: str = "vec_id", vec: str = "embedding", k: int = 5, rerank: int = 120, recall: float = 0.98) -> DataFrame:
     """``(query_id, rank, id, score)``: the ``k`` nearest found of every row that ``queries`` holds for.
 
-    ``probe``: the share of cells that a query looks at (8 at least)."""
+    ``recall``: the share of the sample's nearest neighbours that lie in the cells that a query looks at; so many cells
+    are looked at (8 at least)."""
     v = F.col(vec).cast("array<double>")
     fine = vectors.where(F.col(id).isNotNull() & F.col(vec).isNotNull() & (F.size(vec) > 0)).select(F.col(id).alias("id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     fine = fine.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0))
@@ -132,8 +147,9 @@ def nearest(vectors: DataFrame, queries: Column, id: str = "vec_id", vec: str =
     sample = fine.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE).select("v").toPandas()
     unit = lambda x: x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
     scaled = lambda x: unit(x / np.maximum(np.abs(x).max(1, keepdims=True), 1e-300))
-    index = Index(scaled(np.array(sample["v"].tolist(), float)), n)
-    probes = min(len(index.cells), max(8, math.ceil(probe * len(index.cells))))
+    sample = scaled(np.array(sample["v"].tolist(), float))
+    index = Index(sample, n)
+    probes = min(len(index.cells), max(8, _probes(index, sample, k, recall)))
     shared = vectors.sparkSession.sparkContext.broadcast(index)  # at most MOST_CELLS centroids and 16 entries a pair
 
     def encode(batches):
