@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 class _Powers:
@@ -51,14 +51,14 @@ SPACE = _table(lambda b: b == 32 or 9 <= b <= 13)
 NOT_ALNUM = _table(lambda b: b < 128 and not chr(b).isalnum())
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batch with the bytes of ``column`` and, per row, where its text starts (one more at the end). Null: empty."""
     texts = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 

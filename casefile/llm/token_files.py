@@ -16,7 +16,6 @@ beside the ids, others are not.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 
 import numpy as np
@@ -26,42 +25,116 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .textbytes import SLICE_BYTES
+from .bpe import byte_symbols
+from .shared import cut
+from .textbytes import SPACE, U, Words, slices
 
-END_ID, CACHE = 2, 600_000
+#: Bytes of texts whose different words are looked up together.
+SLICE_BYTES = 3 << 20
+END_ID, CACHE = 2, 400_000
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
-#: White space other than single spaces and line breaks between words, special tokens and the mark used below.
-_IRREGULAR = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z|\x01|<\|")
+#: Control characters and white space but for the space and the line break, as bytes; white space beyond
+#: ASCII, as UTF-8.
+_OTHER_BYTES = np.isin(np.arange(256), [1, 9, 11, 12, 13, 28, 29, 30, 31])
+_WIDE_SPACE = {"\x85\xa0": 2, "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000": 3}
+
+
+def _irregular(data: np.ndarray, offsets: np.ndarray, words: Words) -> np.ndarray:
+    """Rows whose spaces and line breaks do not all stand alone between words, or that hold other white space, the mark
+    used below or what may be a special token. Empty rows are irregular too."""
+    count = lambda at: np.diff(np.searchsorted(np.flatnonzero(at), offsets))
+    odd = _OTHER_BYTES[data]
+    odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    for chars, n in _WIDE_SPACE.items():
+        fit = lead[lead + n <= len(data)]
+        code = sum(data[fit + k].astype(np.int64) << 8 * (n - 1 - k) for k in range(n))
+        odd[fit[np.isin(code, [int.from_bytes(c.encode(), "big") for c in chars])]] = True
+    return (np.diff(words.doc) != count((data == 32) | (data == 10)) + 1) | (count(odd) > 0)
+
+
 _open: dict = {}
 
 
+class _Parts(dict):
+    """Ids of text parts as little-endian 32-bit integers, made when first asked for; two generations of bounded size."""
+
+    def __init__(self, tok):
+        self.tok, self.model, self.old, self.table = tok, tok.model, {}, byte_symbols()
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            # A final line break, and a comma or full stop after a letter, are pre-tokens of their own.
+            if part[-1:] in ("\n", ".", ",") and part[-2:-1].isalpha() or (part[-1:] == "\n" and part[-2:-1] in (".", ",")):
+                ids = self[part[:-1]] + self["\x01\x01" + part[-1]]
+            elif part[:2] == "\x01\x01":
+                ids = self._encode(part[2:])
+            elif part[:1] == "\x01":
+                ids = self._word(part[1:]) if part[1:].isalpha() else self._encode(part[1:])
+            else:
+                ids = self._word(" " + part) if part.isalpha() else self._encode(" " + part)
+        self[part] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """A pre-token of letters: its byte symbols merged by the library's model."""
+        return np.array([t.id for t in self.model.tokenize("".join([self.table[b] for b in word.encode()]))], "<i4").tobytes()
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+
+    def renew(self) -> None:
+        """What was asked for lately stays, what was not goes."""
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+
+
 class _Encoder:
-    """The tokenizer of a file, and the ids of text parts as little-endian 32-bit integers."""
+    """The tokenizer of a file, and the ids of texts as little-endian 32-bit integers."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.cache = Tokenizer.from_file(path), {}
+        self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of every text."""
-        whole = [i for i, t in enumerate(texts) if _IRREGULAR.search(t)]
-        done = dict(zip(whole, self._ids([texts[i] for i in whole]), strict=True))
-        # \x01 marks a part that no space comes before: a text's first, and each after a line break.
-        parts = {i: ("\x01" + t.replace("\n", "\n \x01")).split(" ") for i, t in enumerate(texts) if t and i not in done}
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        new = list({p for x in parts.values() for p in x if p not in cache})
-        cache.update(zip(new, self._ids([p[1:] if p[0] == "\x01" else " " + p for p in new]), strict=True))
-        get = cache.__getitem__
-        return [np.frombuffer(done[i] if i in done else b"".join(map(get, parts[i])) if i in parts else b"", "<i4") for i in range(len(texts))]
+        self.parts = _Parts(self.tok)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of every text of a slice; each different word of it is looked up once."""
+        bounds, raw = offsets.tolist(), data.tobytes()
+        out: list = [None] * (len(bounds) - 1)
+        words = Words(data, offsets, SPACE)
+        regular = ~_irregular(data, offsets, words)
+        for i in np.flatnonzero(~regular).tolist():
+            out[i] = np.frombuffer(self.parts._encode(raw[bounds[i] : bounds[i + 1]].decode()), "<i4")
+        use = np.flatnonzero(np.repeat(regular, np.diff(words.doc)))
+        if not len(use):
+            return out
+        row = np.repeat(np.arange(len(out)), np.diff(words.doc))[use]
+        start, end = words.start[use], words.end[use]
+        spaced = (start > offsets[row]) & (data[np.maximum(start - 1, 0)] == 32)
+        _, first, which = np.unique(words.hashes()[use] ^ np.where(spaced, U(0x5851F42D4C957F2D), U(0)), return_index=True, return_inverse=True)
+        ids = [self.parts[("" if p else "\x01") + raw[a:b].decode()] for a, b, p in zip(start[first].tolist(), end[first].tolist(), spaced[first].tolist(), strict=True)]
+        self.parts.renew()
+        # Line breaks are entries of their own, in the words' order.
+        breaks = np.flatnonzero(data == 10)
+        of = np.searchsorted(offsets, breaks, "right") - 1
+        breaks, of = breaks[regular[of]], of[regular[of]]
+        at = np.searchsorted(start, breaks)
+        which, row = np.insert(which, at, len(ids)), np.insert(row, at, of)
+        ids.append(self.parts["\x01\x01\n"])
+        values, size = np.frombuffer(b"".join(ids), "<i4"), np.array([len(x) // 4 for x in ids])
+        n = size[which]
+        total = np.cumsum(n)
+        flat = values[np.arange(total[-1]) - np.repeat(total - n, n) + np.repeat((np.cumsum(size) - size)[which], n)]
+        ends = np.concatenate([[0], total])[np.searchsorted(row, np.arange(len(out) + 1))]
+        for i in np.flatnonzero(regular).tolist():
+            out[i] = flat[ends[i] : ends[i + 1]]
+        return out
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, id: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = (), end_id: int = END_ID) -> None:
@@ -75,17 +148,11 @@ def write_tokens(docs: DataFrame, folder: str, path: str, id: str = "doc_id", te
         if path not in _open:
             _open[path] = _Encoder(path)
         for batch in batches:
-            lo, texts = 0, batch.column("text").to_pylist()
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= SLICE_BYTES):
-                    size, hi = size + len(texts[hi]), hi + 1
-                ids = [np.append(x, np.int32(end_id)).astype(np.int32) for x in _open[path].encode(texts[lo:hi])]
+            for part, data, offsets in slices(batch, "text", SLICE_BYTES):
+                ids = [np.append(x, np.int32(end_id)).astype(np.int32) for x in _open[path].encode(data, offsets)]
                 n = np.array([len(x) for x in ids])
-                part = batch.slice(lo, hi - lo)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n), lists, *[part.column(c) for c in kept]], names=schema.names)
-                lo = hi
 
     named = rows.mapInArrow(run, schema).toDF(id, "n_tokens", "tokens", *metadata)
     options = {"parquet.writer.version": "v2", "compression": "zstd", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": PAGE_ROWS}
@@ -109,7 +176,7 @@ def token_offsets(tokens: DataFrame, id: str = "doc_id") -> DataFrame:
             crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("file"), batch.column("row"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=schema.names)
 
-    each = tokens.select(F.col(id).alias("id"), "tokens", "file", "row").mapInArrow(run, schema)
+    each = cut(tokens.select(F.col(id).alias("id"), "tokens", "file", "row").mapInArrow(run, schema))
     # A row per file is summed up in one task; documents are summed up file by file.
     files = each.groupBy("file").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
