@@ -69,7 +69,8 @@ def vector_topn(queries: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
 
 def keyword_hits(tokens: Column, norm_text: Column) -> Column:
     """How many of the tokens occur in the text, as parts of words too."""
-    return F.size(F.filter(tokens, lambda t: F.contains(norm_text, t)))
+    # As a lambda's variable the text is normalized once, not once per token.
+    return F.get(F.transform(F.array(norm_text), lambda n: F.size(F.filter(tokens, lambda t: F.contains(n, t)))), F.lit(0))
 
 
 def number_boost(found: Column, number: Column) -> Column:
