@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from casefile.llm import near_dedup
 from casefile.llm.near_dedup import banded_distance, near_classes
 from casefile.llm.shared import components
 
@@ -61,3 +63,27 @@ def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (200, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def edited(rng, text, edits):
+    """The text with so many words replaced at scattered places."""
+    out = list(text)
+    for i in rng.sample(range(len(out)), edits):
+        out[i] = f"new{rng.random()}"
+    return out
+
+
+def test_members_of_a_group_that_are_unlike_its_least_id(spark, monkeypatch):
+    """One group only: its least id is unlike all others, and c is similar to b, a confirmed member, but not to a."""
+    monkeypatch.setattr(near_dedup, "order_minhash", lambda data, offsets, sketches, shingle: (np.zeros((len(offsets) - 1, sketches), np.uint64) + np.arange(sketches, dtype=np.uint64), np.ones(len(offsets) - 1, bool)))
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 8)
+    monkeypatch.setattr(near_dedup, "PARTNERS", 1)
+    rng = random.Random(3)
+    a = [f"a{i}" for i in range(100)]
+    b = a[:98] + ["b0", "b1"]
+    c = [f"c{i}" for i in range(19)] + b[19:]
+    others = [[f"o{k}_{i}" for i in range(100)] for k in range(12)]
+    texts = [a, b, c] + [t for o in others for t in (o, edited(rng, o, 15))] + [[f"z{i}" for i in range(40)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_classes(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0} | {3 + i: 3 + i - i % 2 for i in range(24)} | {27: 27}
