@@ -87,3 +87,36 @@ def test_members_of_a_group_that_are_unlike_its_least_id(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in near_classes(docs).collect()}
     assert got == {0: 0, 1: 0, 2: 0} | {3 + i: 3 + i - i % 2 for i in range(24)} | {27: 27}
+
+
+def test_short_texts_are_exact(spark):
+    """Every pair of up to 24 words within the bound, whatever its edits."""
+    rng, texts, want = random.Random(4), [], {}
+    for n in range(5, 25):
+        for _ in range(6):
+            a = [f"{rng.random()}" for _ in range(n)]
+            b = list(a)
+            for _ in range(int(0.2 * n + 1e-9)):
+                kind, i = rng.random(), rng.randrange(len(b))
+                b[i : i + 1] = [f"{rng.random()}"] if kind < 0.6 else []
+            want[len(texts)] = want[len(texts) + 1] = len(texts)
+            texts += [a, b]
+    whole = [f"m{i}" for i in range(10)]
+    want |= {len(texts): len(texts), len(texts) + 1: len(texts)}
+    texts += [whole, whole[:5] + ["x"] + whole[6:]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_classes(docs).collect()} == want
+
+
+def test_recall_near_the_bound():
+    """Isolated pairs of 200 words with scattered replacements that share a sketch."""
+    rng = random.Random(5)
+    for share, least in ((0.8, 0.98), (0.85, 0.99), (0.9, 0.995)):
+        texts = []
+        for _ in range(500):
+            a = [f"{rng.random()}" for _ in range(200)]
+            texts += [a, edited(rng, a, round(200 * (1 - share)))]
+        raw = [" ".join(t).encode() for t in texts]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+        values, _ = near_dedup.order_minhash(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        assert (values[::2] == values[1::2]).any(1).mean() >= least, share
