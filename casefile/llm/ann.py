@@ -3,8 +3,9 @@
 Vectors are scaled to length 1, so cosine is the inner product. They are dealt into cells by coarse centroids, and
 each is encoded with four bits per pair of dimensions. Codes and code books minimise a score-aware error: the part of
 the residual parallel to the vector, which changes large inner products most, weighs ``eta`` times the rest. A query
-looks at its nearest cells: one table of 16 entries per pair of dimensions scores all codes there, and the best
-``rerank`` are scored exactly on the original vectors.
+looks at its nearest cells: one table of 16 entries per pair of dimensions scores all codes there. The best ``rerank``
+are scored exactly on the original vectors, then, in blocks, all others whose code score is within the length of their
+residual of the k-th exact score so far: nothing in the cells looked at is lost by its code.
 
 Code books are fitted on at most ``SAMPLE`` vectors (those of the smallest hash of the id); every vector is indexed.
 Large cells and large sets of queries are split into blocks of bounded size, which are scanned as separate groups.
@@ -29,6 +30,8 @@ from pyspark.sql.window import Window
 from .shared import cut
 
 SAMPLE, CELL_ROWS, MOST_CELLS, BLOCK_ROWS, BLOCK_QUERIES = 20_000, 1_000, 1_024, 20_000, 20_000
+#: Vectors scored exactly at a time, beyond the first ``rerank``.
+RERANK_ROWS = 2_048
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 1) -> np.ndarray:
@@ -95,6 +98,13 @@ class Index:
             some = np.bincount(codes[:, m], minlength=16) > 0
             self.books[m][some] = np.linalg.solve(left[some], right[some][..., None])[..., 0]
 
+    def error(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far the code score of each unit vector can be from its inner product with any unit vector."""
+        total = np.zeros(len(x))
+        for m, part in enumerate(np.moveaxis(self._pad(x).reshape(len(x), -1, 2), 1, 0)):
+            total += ((part - self.books[m][codes[:, m]]) ** 2).sum(1)
+        return np.sqrt(total) + 1e-6 * self.books.shape[0]  # tables and their sums are float32
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Inner products of every query's pairs of dimensions with the code book entries."""
         return np.einsum("qmd,mkd->qmk", self._pad(queries).reshape(len(queries), -1, 2), self.books).astype(np.float32)
@@ -193,6 +203,7 @@ def nearest(vectors: DataFrame, queries: Column, id: str = "vec_id", vec: str =
             x, packed = x[keep], np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(left.num_rows, -1)[keep]
             codes = np.empty((len(x), packed.shape[1] * 2), np.uint8)
             codes[:, ::2], codes[:, 1::2] = packed & 15, packed >> 4
+            error = shared.value.error(scaled(x), codes)
             codes = np.ascontiguousarray(codes.T)
             norm = np.sqrt((x * x).sum(1))
             asks = _vectors(right.column("v"))
@@ -203,15 +214,20 @@ def nearest(vectors: DataFrame, queries: Column, id: str = "vec_id", vec: str =
                 for m in range(table.shape[1]):
                     approx += table[:, m][:, codes[m]]
                 for j, row in enumerate(approx):
-                    top = _best(row, rerank)
-                    with np.errstate(over="ignore", invalid="ignore"):
-                        exact = (x[top] * q[j]).sum(1) / (norm[top] * math.sqrt(float((q[j] * q[j]).sum())))
-                    me, got = own[lo + j], []
-                    for p in np.argsort(-exact, kind="stable").tolist():
-                        if len(got) >= k and exact[p] < got[k - 1][0]:
-                            break
-                        got += [(float(exact[p]), i) for i in copies[top[p]] if i != me]
-                        got.sort(key=lambda s: (-s[0], s[1]))
+                    top, most, me, got = _best(row, rerank), row + error, own[lo + j], []
+                    open_ = np.ones(len(x), bool)
+                    while len(top):
+                        open_[top] = False
+                        with np.errstate(over="ignore", invalid="ignore"):
+                            exact = (x[top] * q[j]).sum(1) / (norm[top] * math.sqrt(float((q[j] * q[j]).sum())))
+                        for p in np.argsort(-exact, kind="stable").tolist():
+                            if len(got) >= k and exact[p] < got[k - 1][0]:
+                                break
+                            got += [(float(exact[p]), i) for i in copies[top[p]] if i != me]
+                            got.sort(key=lambda s: (-s[0], s[1]))
+                            del got[k:]
+                        rest = np.flatnonzero(open_ & (most >= got[k - 1][0])) if len(got) >= k else np.flatnonzero(open_)
+                        top = rest[_best(most[rest], RERANK_ROWS)]
                     for s, i in got[:k]:
                         found[0].append(me)
                         found[1].append(i)

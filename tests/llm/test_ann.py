@@ -31,6 +31,26 @@ def test_recall(spark, monkeypatch):
     assert abs(r["score"] - a @ b / np.linalg.norm(a) / np.linalg.norm(b)) < 1e-12
 
 
+def test_thousands_of_jittered_copies(spark, monkeypatch):
+    """Their codes tie or nearly so; the queries are among them. Every cell is looked at, then 8 or more of 60."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6000, 64))
+    x[:4000] = x[0] + 0.02 * rng.normal(size=(4000, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for cell_rows, least in ((1000, 1.0), (100, 0.9)):
+        monkeypatch.setattr(ann, "CELL_ROWS", cell_rows)
+        recall = []
+        got = ann.nearest(docs, (F.col("vec_id") % 50 == 0) & (F.col("vec_id") < 4000)).collect()
+        for q in range(0, 4000, 50):
+            s = unit @ unit[q]
+            s[q] = -2
+            recall.append(len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(-s)[:5].tolist())) / 5)
+        print("recall", cell_rows, np.mean(recall))
+        assert np.mean(recall) >= least
+
+
 def test_copies_and_ties(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 8)).astype(np.float32)
