@@ -114,22 +114,22 @@ WITH lines AS (
   FROM filled GROUP BY line
 ), pairs AS (
   SELECT a.line AS earlier, b.line AS line, a.n AS m, b.n AS n, b.place FROM firsts a JOIN firsts b
-  ON a.place < b.place AND a.n = b.n AND a.n >= 16 AND left(a.line, a.n // 2) = left(b.line, a.n // 2)
+  ON a.place < b.place AND a.n = b.n AND a.n >= 5 AND left(a.line, a.n // 2) = left(b.line, a.n // 2)
   UNION ALL
   SELECT a.line, b.line, a.n, b.n, b.place FROM firsts a JOIN firsts b
-  ON a.place < b.place AND a.n = b.n AND a.n >= 16 AND right(a.line, a.n // 2) = right(b.line, a.n // 2)
+  ON a.place < b.place AND a.n = b.n AND a.n >= 5 AND right(a.line, a.n // 2) = right(b.line, a.n // 2)
   UNION ALL
   SELECT a.line, b.line, a.n, b.n, b.place FROM firsts a JOIN firsts b
-  ON a.place < b.place AND a.n = b.n + 1 AND b.n >= 16 AND left(a.line, b.n // 2) = left(b.line, b.n // 2)
+  ON a.place < b.place AND a.n = b.n + 1 AND b.n >= 4 AND left(a.line, b.n // 2) = left(b.line, b.n // 2)
   UNION ALL
   SELECT a.line, b.line, a.n, b.n, b.place FROM firsts a JOIN firsts b
-  ON a.place < b.place AND a.n = b.n + 1 AND b.n >= 16 AND right(a.line, b.n // 2) = right(b.line, b.n // 2)
+  ON a.place < b.place AND a.n = b.n + 1 AND b.n >= 4 AND right(a.line, b.n // 2) = right(b.line, b.n // 2)
   UNION ALL
   SELECT a.line, b.line, a.n, b.n, b.place FROM firsts a JOIN firsts b
-  ON a.place < b.place AND a.n + 1 = b.n AND a.n >= 16 AND left(a.line, a.n // 2) = left(b.line, a.n // 2)
+  ON a.place < b.place AND a.n + 1 = b.n AND a.n >= 4 AND left(a.line, a.n // 2) = left(b.line, a.n // 2)
   UNION ALL
   SELECT a.line, b.line, a.n, b.n, b.place FROM firsts a JOIN firsts b
-  ON a.place < b.place AND a.n + 1 = b.n AND a.n >= 16 AND right(a.line, a.n // 2) = right(b.line, a.n // 2)
+  ON a.place < b.place AND a.n + 1 = b.n AND a.n >= 4 AND right(a.line, a.n // 2) = right(b.line, a.n // 2)
 ), near AS (
   SELECT DISTINCT place FROM pairs
   WHERE len(list_filter(range(greatest(m, n)), lambda i: left(earlier, i) = left(line, i) AND
@@ -169,12 +169,13 @@ FROM words LEFT JOIN kept USING (doc_id)
 _OP9_SQL = r"""
 WITH hosts AS (
   SELECT page_id, 1704067200 + page_id * 7919 % (366 * 86400) AS t,
-    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host
+    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)', 1)), '') AS host
   FROM pages
 ), parts AS (
   SELECT *, string_split(host, '.') AS p FROM hosts
 ), named AS (
-  SELECT page_id, t, list_transform(range(1, greatest(len(p) - 1, 1) + 1), lambda i: array_to_string(p[i:], '.')) AS ps, host FROM parts
+  SELECT page_id, t, CASE WHEN regexp_matches(host, '^[0-9]{1,3}([.][0-9]{1,3}){3}$|^\[') THEN [host]
+    ELSE list_transform(range(1, greatest(len(p) - 1, 1) + 1), lambda i: array_to_string(p[i:], '.')) END AS ps, host FROM parts
 ), entries AS (
   SELECT CASE WHEN page_id % 3 = 0 THEN host WHEN page_id % 7 = 0 THEN ps[-1] END AS pattern,
     CASE page_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS weight,

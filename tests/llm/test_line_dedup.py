@@ -1,5 +1,6 @@
 import random
 
+from casefile.llm import line_dedup
 from casefile.llm.line_dedup import dedup_lines
 
 
@@ -14,12 +15,12 @@ def near(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def expected(rows, min_near):
+def expected(rows, similarity):
     lines = sorted((i, n, line.strip(" ")) for i, t in rows for n, line in enumerate((t or "").split("\n")) if t is not None)
     seen, gone = [], set()
     for i, n, line in lines:
         if line:
-            if any(line == s or (min(len(line), len(s)) >= min_near and near(line, s)) for s in seen):
+            if any(line == s or (1 - 1 / max(len(line), len(s)) >= similarity - 1e-9 and near(line, s)) for s in seen):
                 gone.add((i, n))
             seen.append(line)
     return {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in rows}
@@ -35,8 +36,16 @@ def test_matches_brute_force(spark):
 
     rows = [(i, "\n".join(change(rng.choice(base)) for _ in range(rng.randint(1, 6)))) for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in dedup_lines(docs, min_near=6).collect()}
-    assert got == expected(rows, 6)
+    for similarity in (0.5, 0.8, 0.9):
+        got = {r["doc_id"]: r["text"] for r in dedup_lines(docs, similarity=similarity).collect()}
+        assert got == expected(rows, similarity)
+
+
+def test_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    rows = [(i, f"shared beginning of line {i % 40}\nshared beginning of line {'abcdefgh'[i % 8]}x{i % 3}") for i in range(80)]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == expected(rows, 0.8)
 
 
 def test_long_lines_and_chains(spark):
