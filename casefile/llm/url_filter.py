@@ -3,9 +3,11 @@
 Entries ``(pattern, action, listed_at)`` say from when on a domain and its subdomains are to be blocked or allowed, or
 are off the list (remove). An entry holds until the next entry of its pattern: dated entries become validity intervals,
 cut into months. A capture meets the intervals of its host and the host's parent domains by an as-of join: equal pattern
-and month, and the fetch time inside the interval. The longest pattern with an active block or allow decides.
+and month, and the fetch time inside the interval. The longest pattern with an active block or allow decides. The
+captures of a pattern and month are dealt into ``SALTS`` parts, each with its own copy of the few intervals.
 
-Defined results: patterns and hosts are compared in small letters; a bare top-level domain is no pattern of a host.
+Defined results: patterns and hosts are compared in small letters; a bare top-level domain is no pattern of a host, and
+an IP address has no other pattern than itself. Very long URLs are read whole.
 Entries of the same pattern and time: block wins over allow, allow over remove. An interval includes its start and not
 its end. URLs that are null or have no host, and null fetch times, are not blocked and have no pattern. Null patterns,
 actions or times of entries are left out. Repeated captures each keep a row. Empty lists block nothing. Columns of
@@ -22,19 +24,22 @@ from .shared import fresh
 
 #: The actions in rising order of precedence.
 ACTIONS = ("remove", "allow", "block")
+#: Parts that the captures of a pattern and month are dealt into.
+SALTS = 16
 
 
 def host(url: Column) -> Column:
     """The host of a URL in small letters; null without one."""
-    found = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)
+    found = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)", 1)
     return F.lower(F.nullif(found, F.lit("")))
 
 
 def patterns(name: Column) -> Column:
-    """The host and its parent domains, without the top-level domain alone."""
+    """The host and its parent domains, without the top-level domain alone; an IP address alone."""
     parts = F.split(name, r"\.")
     n = F.greatest(F.size(parts) - 1, F.lit(1))
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    address = name.rlike(r"^[0-9]{1,3}([.][0-9]{1,3}){3}$|^\[")
+    return F.when(address, F.array(name)).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
 
 
 def intervals(entries: DataFrame, pattern: str = "pattern", action: str = "action", at: str = "listed_at") -> DataFrame:
@@ -56,12 +61,13 @@ def judge_urls(captures: DataFrame, entries: DataFrame, url: str = "url", at: st
     h, t = fresh(captures, "h_"), fresh(captures, "t_")
     rows = captures.withColumn(h, host(F.col(url))).withColumn(t, F.col(at))
     keys = rows.select(F.col(h).alias("h"), F.col(t).alias("t")).where("h is not null and t is not null").distinct()
-    asked = keys.select("h", "t", F.explode(patterns(F.col("h"))).alias("pattern"), _month(F.col("t")).alias("month"))
+    asked = keys.select("h", "t", F.explode(patterns(F.col("h"))).alias("pattern"), _month(F.col("t")).alias("month"), F.pmod(F.xxhash64("h", "t"), F.lit(SALTS)).cast("int").alias("salt"))
     first, last = keys.agg(F.min(_month(F.col("t"))), F.max(_month(F.col("t")))).first()  # two numbers
     low = F.greatest(_month(F.col("valid_from")), F.lit(first or 0))
     high = F.least(F.coalesce(_month(F.col("valid_to")), F.lit(last or 0)), F.lit(last or 0))
     held = intervals(entries).where((F.col("action") != "remove") & (low <= high)).select("pattern", "action", "valid_from", "valid_to", F.explode(F.sequence(low, high)).alias("month"))
-    active = asked.join(held, ["pattern", "month"]).where((F.col("valid_from") <= F.col("t")) & (F.col("valid_to").isNull() | (F.col("t") < F.col("valid_to"))))
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    active = asked.join(held, ["pattern", "month", "salt"]).where((F.col("valid_from") <= F.col("t")) & (F.col("valid_to").isNull() | (F.col("t") < F.col("valid_to"))))
     best = active.groupBy("h", "t").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "action", "valid_from")).alias("b"))
     out = rows.join(best, (rows[h] == best["h"]) & (rows[t] == best["t"]), "left")
     return out.select(*[rows[c] for c in captures.columns], F.coalesce(F.col("b.action") == "block", F.lit(False)).alias(added[0]), F.col("b.pattern").alias(added[1]), F.col("b.valid_from").alias(added[2]))

@@ -34,3 +34,10 @@ def test_edge_cases(spark):
     assert sorted(r["_blocked"] for r in out.collect()) == [False] * 4 + [True] * 2
     assert judge_urls(captures, entries.limit(0)).where("_blocked").count() == 0
     assert judge_urls(captures.limit(0), entries).count() == 0
+
+
+def test_addresses_and_long_urls(spark):
+    captures = spark.createDataFrame([("http://10.168.1.1:8080/x", DAY), ("https://[2001:db8::1]/", DAY), ("http://a.b.c/" + "p" * 1_000_000, DAY)], "url string, fetched_at timestamp")
+    entries = spark.createDataFrame([("168.1.1", "block", DAY), ("1.1", "block", DAY), ("[2001:db8::1]", "block", DAY), ("b.c", "block", DAY)], "pattern string, action string, listed_at timestamp")
+    got = {r["url"][:9]: (r["blocked"], r["pattern"]) for r in judge_urls(captures, entries).collect()}
+    assert got == {"http://10": (False, None), "https://[": (True, "[2001:db8::1]"), "http://a.": (True, "b.c")}
