@@ -144,10 +144,13 @@ def _scan(model: Model, batch: pa.RecordBatch):
 def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(text, label, h)`` of the ``rows`` labelled documents of the smallest hash of the id, the label as a boolean.
 
-    Only ids and labels are sorted; at most ``rows`` of them are broadcast to the documents."""
+    Only ids and labels are sorted; at most ``rows`` of them are broadcast to the documents. Of documents that share an id
+    that of the least hash is taken."""
     few = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"), (F.col(label) == 1).alias("label"), F.xxhash64(F.col(key).cast("string")).alias("h"))
     few = few.orderBy("h", "id").limit(rows).select("id", "label", "h")
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(few), "id").select("text", "label", "h")
+    few = few.groupBy("id").agg(F.min("label").alias("label"), F.min("h").alias("h"))
+    found = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(few), "id")
+    return found.groupBy("id").agg(F.min_by(F.struct("text", "label", "h"), F.xxhash64("text")).alias("d")).select("d.text", "d.label", "d.h")
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, most_tokens: int = MOST_TOKENS, least_docs: int = 4, least_z: float = 2.0, prior: float = 500.0, drift: float = 1.0) -> Model:
