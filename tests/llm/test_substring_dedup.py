@@ -1,8 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from casefile.llm import substring_dedup
 from casefile.llm.substring_dedup import remove_repeats
 
 
@@ -30,6 +33,7 @@ def test_matches_brute_force(spark, window, phrase, alphabet):
         for _ in range(rng.randint(0, 4)):
             parts += rng.choice(passages) if rng.random() < 0.5 else [rng.choice(vocabulary) for _ in range(rng.randint(1, 30))]
         rows.append((i, rng.choice([" ", "\n", " \t "]).join(parts)))
+    rows += rows[:3]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = remove_repeats(docs, window=window, phrase=phrase, shard_bytes=2_000)
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()), key=repr) == expected(rows, window)
@@ -45,3 +49,26 @@ def test_spans_and_edge_cases(spark):
     assert [(s["from_word"], s["to_word"]) for s in by[4]["spans"]] == [(1, 41)] and by[4]["kept"] == "a b"
     assert by[5]["kept"] == "" and by[8]["n_removed"] == 60 and by[None]["n_removed"] == 0 and by[1]["n_words"] == 0
     assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_words_decide_not_hashes():
+    """A passage that was sent removes nothing that does not equal it word by word, nor its own place."""
+    p = " ".join(f"w{i}" for i in range(35))
+    pieces = substring_dedup._Pieces(pa.table({"name": [1], "from_word": [0], "piece": [p]}), 35, 6)
+    for text, want in ((p, 35), (p.replace("w34", "w35"), 0), ("a " + p + " b " + p, 70), (p.replace("w5 ", "w5\u00a0"), 0)):
+        gone = np.zeros(len(text.split(" ")), bool)
+        pieces.mark(text, 2, gone)
+        assert gone.sum() == want
+    gone = np.zeros(35, bool)
+    pieces.mark(p, 1, gone)
+    assert not gone.any()
+
+
+def test_long_texts(spark):
+    """A text of a million words that holds a passage, one word a million times, a word of a million letters."""
+    rng = random.Random(5)
+    p = " ".join(f"p{i}" for i in range(50))
+    long = " ".join(str(rng.random()) for _ in range(500_000)) + " " + p + " end"
+    rows = [(1, long), (2, "x " * 100_000), (3, "y" * 1_000_000), (4, p)]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (500_051, 50), 2: (100_000, 100_000), 3: (1, 0), 4: (50, 50)}
