@@ -4,19 +4,22 @@ Spark's writer makes the files: version-2 pages, so that ids are dictionary or d
 set sizes, so that readers can plan; column and offset indexes, so that a read of some documents or of the metadata
 alone touches only their pages. Documents are dealt by ranges of their ids, so file order is document order.
 
-A worker encodes each distinct part of a text once: in a text with single spaces or line breaks between words every
-space or line break begins or ends a pre-token, so the parts are encoded on their own by the ``tokenizers`` library and
-kept in a cache of bounded size. All other texts go to the library whole.
+In a text with single spaces or line breaks between words every space or line break begins or ends a pre-token, and so
+does a comma or full stop after a letter at a word's end. Such parts are encoded on their own: a worker looks up a slice's
+different parts in a table of bounded size (64-bit hashes, ids in one array), and the ``tokenizers`` library encodes those
+that are new: letters alone, a pre-token each, by its model, all others in one call, a line each. All other texts go to
+the library whole.
 
 Defined cases: null text counts as empty: the end id alone; null ids come first; rows that share an id follow each
-other in the order of their texts; an empty table gives no files' rows; columns named in ``metadata`` are written
-beside the ids, others are not.
+other in the order of their texts' hashes, repeated rows in one file; a very long text is a slice of its own; an empty
+table gives no files' rows; columns named in ``metadata`` are written beside the ids, whatever their names, others not.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +29,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .bpe import byte_symbols
-from .shared import cut
+from .shared import cut, fresh
 from .textbytes import SPACE, U, Words, slices
 
 #: Bytes of texts whose different words are looked up together.
 SLICE_BYTES = 3 << 20
-END_ID, CACHE = 2, 400_000
+END_ID, CACHE = 2, 1_000_000
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 #: Control characters and white space but for the space and the line break, as bytes; white space beyond
 #: ASCII, as UTF-8.
@@ -54,41 +57,41 @@ def _irregular(data: np.ndarray, offsets: np.ndarray, words: Words) -> np.ndarra
 
 
 _open: dict = {}
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 
 
-class _Parts(dict):
-    """Ids of text parts as little-endian 32-bit integers, made when first asked for; two generations of bounded size."""
+class _Table:
+    """Ids of text parts by the parts' hashes; those not asked for lately go when there are more than ``CACHE``."""
 
-    def __init__(self, tok):
-        self.tok, self.model, self.old, self.table = tok, tok.model, {}, byte_symbols()
+    def __init__(self):
+        self.key, self.start, self.size, self.used, self.ids, self.time = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<i4"), 0
 
-    def __missing__(self, part: str) -> bytes:
-        ids = self.old.get(part)
-        if ids is None:
-            # A final line break, and a comma or full stop after a letter, are pre-tokens of their own.
-            if part[-1:] in ("\n", ".", ",") and part[-2:-1].isalpha() or (part[-1:] == "\n" and part[-2:-1] in (".", ",")):
-                ids = self[part[:-1]] + self["\x01\x01" + part[-1]]
-            elif part[:2] == "\x01\x01":
-                ids = self._encode(part[2:])
-            elif part[:1] == "\x01":
-                ids = self._word(part[1:]) if part[1:].isalpha() else self._encode(part[1:])
-            else:
-                ids = self._word(" " + part) if part.isalpha() else self._encode(" " + part)
-        self[part] = ids
-        return ids
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of ascending ``keys``, -1 for those that are new."""
+        at = np.searchsorted(self.key, keys)
+        known = at < len(self.key)
+        known[known] = self.key[at[known]] == keys[known]
+        self.time += 1
+        self.used[at[known]] = self.time
+        return np.where(known, at, -1)
+
+    def add(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        if len(self.key) > CACHE:
+            self._keep(self.used > np.median(self.used))
+        at = np.searchsorted(self.key, keys)
+        start = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate([self.ids, ids])
+        self.key, self.start, self.size, self.used = np.insert(self.key, at, keys), np.insert(self.start, at, start), np.insert(self.size, at, size), np.insert(self.used, at, self.time)
 
-    def _word(self, word: str) -> bytes:
-        """A pre-token of letters: its byte symbols merged by the library's model."""
-        return np.array([t.id for t in self.model.tokenize("".join([self.table[b] for b in word.encode()]))], "<i4").tobytes()
+    def _keep(self, some: np.ndarray) -> None:
+        self.key, self.size, self.used = self.key[some], self.size[some], self.used[some]
+        self.ids, self.start = self.ids[_spread(self.start[some], self.size)], np.cumsum(self.size) - self.size
 
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
-    def renew(self) -> None:
-        """What was asked for lately stays, what was not goes."""
-        if len(self) > CACHE:
-            self.old = dict(self)
-            self.clear()
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places ``start, start + 1, ...`` of every run of ``size``, one run after the other."""
+    total = np.cumsum(size)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(start - total + size, size)
 
 
 class _Encoder:
@@ -101,37 +104,75 @@ class _Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.parts = _Parts(self.tok)
+        self.table = _Table()
+        #: Ids of a line break, a comma and a full stop on their own.
+        self.alone = np.array([self.whole(c)[0] for c in "\n,."], "<i4")
+        self.symbols = byte_symbols()
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<i4")
+
+    def parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of the parts, and the ids."""
+        each: list = [None] * len(parts)
+        others, merged = [], self.tok.model.tokenize
+        for i, part in enumerate(parts):
+            text = part.decode()
+            spaced = text[0] == " "
+            if (text[1:] if spaced else text).isalpha():
+                # The symbol of a small or capital letter is itself.
+                symbols = (self.symbols[32] + text[1:] if spaced else text) if text.isascii() else "".join([self.symbols[b] for b in part])
+                each[i] = [t.id for t in merged(symbols)]
+            else:
+                others.append((i, text))
+        # A line break is a pre-token of its own and in no part.
+        ids = self.whole("\n".join([t for _, t in others])).tolist()
+        at = 0
+        for i, _ in others:
+            end = ids.index(int(self.alone[0]), at) if i != others[-1][0] else len(ids)
+            each[i], at = ids[at:end], end + 1
+        return np.array([len(x) for x in each], np.int64), np.array(list(chain.from_iterable(each)), "<i4")
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """Ids of every text of a slice; each different word of it is looked up once."""
+        """Ids of every text of a slice."""
         bounds, raw = offsets.tolist(), data.tobytes()
         out: list = [None] * (len(bounds) - 1)
         words = Words(data, offsets, SPACE)
         regular = ~_irregular(data, offsets, words)
         for i in np.flatnonzero(~regular).tolist():
-            out[i] = np.frombuffer(self.parts._encode(raw[bounds[i] : bounds[i + 1]].decode()), "<i4")
+            out[i] = self.whole(raw[bounds[i] : bounds[i + 1]].decode())
         use = np.flatnonzero(np.repeat(regular, np.diff(words.doc)))
         if not len(use):
             return out
         row = np.repeat(np.arange(len(out)), np.diff(words.doc))[use]
-        start, end = words.start[use], words.end[use]
+        start, last = words.start[use], data[words.end[use] - 1]
+        marked = ((last == 44) | (last == 46)) & (words.end[use] - start > 1)
+        marked &= _LETTER[data[np.maximum(words.end[use] - 2, 0)]]
+        words.end[use] -= marked
+        end = words.end[use]
         spaced = (start > offsets[row]) & (data[np.maximum(start - 1, 0)] == 32)
-        _, first, which = np.unique(words.hashes()[use] ^ np.where(spaced, U(0x5851F42D4C957F2D), U(0)), return_index=True, return_inverse=True)
-        ids = [self.parts[("" if p else "\x01") + raw[a:b].decode()] for a, b, p in zip(start[first].tolist(), end[first].tolist(), spaced[first].tolist(), strict=True)]
-        self.parts.renew()
-        # Line breaks are entries of their own, in the words' order.
+        key, first, which = np.unique(words.hashes()[use] ^ np.where(spaced, U(0x5851F42D4C957F2D), U(0)), return_index=True, return_inverse=True)
+        new = np.flatnonzero(self.table.find(key) < 0)
+        if len(new):
+            at = first[new]
+            self.table.add(key[new], *self.parts([raw[a:b] for a, b in zip((start[at] - spaced[at]).tolist(), end[at].tolist(), strict=True)]))
+        place = self.table.find(key)[which]
+        # The ids of a line break, a comma and a full stop stand after those of the table.
+        ids = np.concatenate([self.table.ids, self.alone])
         breaks = np.flatnonzero(data == 10)
         of = np.searchsorted(offsets, breaks, "right") - 1
         breaks, of = breaks[regular[of]], of[regular[of]]
-        at = np.searchsorted(start, breaks)
-        which, row = np.insert(which, at, len(ids)), np.insert(row, at, of)
-        ids.append(self.parts["\x01\x01\n"])
-        values, size = np.frombuffer(b"".join(ids), "<i4"), np.array([len(x) // 4 for x in ids])
-        n = size[which]
-        total = np.cumsum(n)
-        flat = values[np.arange(total[-1]) - np.repeat(total - n, n) + np.repeat((np.cumsum(size) - size)[which], n)]
-        ends = np.concatenate([[0], total])[np.searchsorted(row, np.arange(len(out) + 1))]
+        before = np.searchsorted(breaks, start)
+        marks = np.cumsum(marked)
+        at = np.arange(len(start)) + marks - marked + before
+        n = len(start) + int(marks[-1]) + len(breaks)
+        begin, size, owner = np.full(n, len(ids) - 3, np.int64), np.ones(n, np.int64), np.empty(n, np.int64)
+        begin[at], size[at], owner[at] = self.table.start[place], self.table.size[place], row
+        begin[at[marked] + 1], owner[at[marked] + 1] = len(ids) - 2 + (last[marked] == 46), row[marked]
+        words_before = np.searchsorted(start, breaks)
+        owner[np.arange(len(breaks)) + words_before + np.append(0, marks)[words_before]] = of
+        flat = ids[_spread(begin, size)]
+        ends = np.append(0, np.cumsum(size))[np.searchsorted(owner, np.arange(len(out) + 1))]
         for i in np.flatnonzero(regular).tolist():
             out[i] = flat[ends[i] : ends[i + 1]]
         return out
@@ -159,10 +200,14 @@ def write_tokens(docs: DataFrame, folder: str, path: str, id: str = "doc_id", te
     named.write.options(**options).parquet(folder)
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents of a folder of token files, with ``file`` and ``row``, their place in order."""
+def read_tokens(spark: SparkSession, folder: str, ids: list | None = None, columns: tuple[str, ...] | None = None, id: str = "doc_id") -> DataFrame:
+    """The documents of a folder of token files, with ``file`` and ``row``, their place in order.
+
+    ``ids``: those documents alone; row groups and pages that hold none of them are not read. ``columns``: those alone."""
     files = spark.read.parquet(folder)
-    return files.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    some = files if ids is None else files.where(F.col(f"`{id}`").isin(list(ids)))
+    place = [F.col("_metadata.file_name").alias(fresh(files, "file")), F.col("_metadata.row_index").alias(fresh(files, "row"))]
+    return some.select(*[F.col(f"`{c}`") for c in columns or files.columns], *place)
 
 
 def token_offsets(tokens: DataFrame, id: str = "doc_id") -> DataFrame:
@@ -178,8 +223,9 @@ def token_offsets(tokens: DataFrame, id: str = "doc_id") -> DataFrame:
 
     each = cut(tokens.select(F.col(id).alias("id"), "tokens", "file", "row").mapInArrow(run, schema))
     # A row per file is summed up in one task; documents are summed up file by file.
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")  # more digits come later, whatever the text order
     files = each.groupBy("file").agg(F.sum("n").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = files.select("file", before.alias("base"))
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = each.withColumn("inside", inside).join(files, "file")

@@ -16,8 +16,8 @@ def ids_of(texts):
 
 
 def test_round_trip(spark, tmp_path):
-    odd = ["", None, " lead", "trail ", "two  spaces", "a\n\nb", "line\nbreak it's 12 o'clock", "tab\there", "nbsp x y", "x <|endoftext|> y", "é ñ\n日本 語", "\x01 mark", "a \nb", "can't\n'll  !!! ??", "🙂 👩‍👩‍👧 ok", "w " * 3000, " a b", "a b c"]
-    rows = [(1000 - i, odd[i % len(odd)] if i < 60 else f"text number {i} of\nmany {i * 7919 % 1000}", "s") for i in range(500)]
+    odd = ["", None, " lead", "trail ", "two  spaces", "a\n\nb", "line\nbreak it's 12 o'clock", "tab\there", "nbsp x y", "x <|endoftext|> y", "é ñ\n日本 語", "\x01 mark", "a \nb", "can't\n'll  !!! ??", "🙂 👩‍👩‍👧 ok", "ends. here, and… so…, x., é, 3. n't. a,b c.,", "one, two,\nthree.\nfour", "w " * 3000, " a b", "a b c"]
+    rows = [(1000 - i, odd[i % len(odd)] if i < 66 else f"text number {i} of\nmany {i * 7919 % 1000}", "s") for i in range(500)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
     folder = str(tmp_path / "tokens")
     tf.write_tokens(docs, folder, PATH, metadata=("source",))
@@ -45,3 +45,34 @@ def test_edge_cases(spark, tmp_path):
     assert [r["doc_id"] for r in got] == [None, 1, 1, 1] and [r["start"] for r in got] == [0, 2, 4, 6]
     tf.write_tokens(docs.limit(0), str(tmp_path / "e"), PATH)
     assert tf.token_offsets(tf.read_tokens(spark, str(tmp_path / "e"))).count() == 0
+
+
+def test_table_forgets(monkeypatch):
+    """Ids stay right when parts are dropped from the table and come again."""
+    monkeypatch.setattr(tf, "CACHE", 50)
+    tok, enc = Tokenizer.from_file(PATH), tf._Encoder(PATH)
+    texts = [" ".join(f"{'abcdefgh'[j % 8]}{'xyz' * (j % 5)}{k * j % 97}" if j % 3 else "word" * (1 + k * j % 9) for j in range(60)) for k in range(40)]
+    for _ in range(2):
+        for lo in range(0, 40, 4):
+            some = [t.encode() for t in texts[lo : lo + 4]]
+            got = enc.encode(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in some])]))
+            assert [x.tolist() for x in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts[lo : lo + 4]]
+
+
+def test_reads_only_pages_of_the_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tf, "PAGE_ROWS", 100)
+    docs = spark.range(5000).selectExpr("id as doc_id", "concat('text ', id) as text").coalesce(1)
+    tf.write_tokens(docs, str(tmp_path / "t"), PATH)
+    some = tf.read_tokens(spark, str(tmp_path / "t"), ids=[7, 4321], columns=("doc_id", "n_tokens"))
+    assert sorted(r["doc_id"] for r in some.collect()) == [7, 4321] and some.columns == ["doc_id", "n_tokens", "file", "row"]
+    plan = some._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().head()
+    read = scan.metrics().apply("numOutputRows").value()
+    assert 0 < read < 1000, read
+    assert "tokens" not in scan.simpleString(1000).split("ReadSchema:")[1].replace("n_tokens", "")
+
+
+def test_files_are_ordered_by_number(spark):
+    rows = [(i, f"part-{n}-x.parquet", 0, [1] * (i + 1)) for i, n in enumerate(("99998", "99999", "100000", "100001"))]
+    tokens = spark.createDataFrame(rows, "doc_id long, file string, row long, tokens array<int>")
+    assert [r["start"] for r in tf.token_offsets(tokens).orderBy("doc_id").collect()] == [0, 1, 3, 6]
