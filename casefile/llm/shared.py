@@ -17,12 +17,15 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; unset (tests), a new one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets
+    a new one, and a cluster an error: its machines share no temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-")
-    return folder
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if folder or current.isDefined():
+        return folder or current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ documents. The document's score is a logistic function of its best and its joint
 
 Defined cases: null and empty texts have no words and score as clean documents without a segment; ties between
 equal segments keep text order; repeated rows score alike; an empty label table, or one of a single class, gives a
-model that scores every text 0. Other columns are carried through untouched, whatever their names.
+model that scores every text 0. A very long text is a slice of its own, scanned in time and memory linear in its length.
+Other columns are carried through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import types as T
 from .shared import fresh
 from .textbytes import NOT_ALNUM, U, Words, lowered, slices
 
-#: Training rows at most (those of the smallest hash of the id) and model tokens at most (the most significant).
-SAMPLE_ROWS, MOST_TOKENS = 12_000, 60_000
+#: Labelled documents learned from at most (those of the smallest hash of the id).
+SAMPLE_ROWS = 12_000
 #: The calibration scores each fold of the sample with the tokens of the others, as new texts would be scored.
 FOLDS = 4
 PREFIXES = (None, 4, 5, 6)
@@ -153,10 +154,11 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int, key: str
     return found.groupBy("id").agg(F.min_by(F.struct("text", "label", "h"), F.xxhash64("text")).alias("d")).select("d.text", "d.label", "d.h")
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, most_tokens: int = MOST_TOKENS, least_docs: int = 4, least_z: float = 2.0, prior: float = 500.0, drift: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "toxic", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, least_docs: int = 4, least_z: float = 2.0, prior: float = 500.0, drift: float = 1.0) -> Model:
     """Fit on the labelled documents (1: toxic), at most ``sample_rows`` of them; null labels are left out.
 
-    Counting runs on the executors; the driver gets at most ``most_tokens`` tokens and a few numbers per sampled row.
+    Counting runs on the executors; the driver gets the sample's significant tokens, each in ``least_docs`` documents or
+    more of it, and a few numbers per sampled row: the sample bounds both, whatever the size of the corpus.
     """
     spark = docs.sparkSession
     sample = sampled(docs, labels, toxic, sample_rows, key, text).select("text", F.col("label").alias("toxic"), F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"))
@@ -178,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "
         # The prior decides what is significant; the score is the plain log-odds, which it would pull to 0.
         plain = F.log((t + 0.1) / (nt + 0.2)) - F.log((c + 0.1) / (nc + 0.2))
         columns += [F.greatest(F.lit(-3.0), F.least(F.lit(8.0), plain)).alias(f"odds{f}"), F.when((F.abs(z) >= least_z) & (t + c >= least_docs), F.abs(z)).otherwise(0.0).alias(f"z{f}")]
-    kept = counts.select("token", *columns).withColumn("z", F.greatest(*[f"z{f}" for f in range(-1, FOLDS)])).where("z > 0").orderBy(F.desc("z"), "token").limit(most_tokens).toPandas()
+    kept = counts.select("token", *columns).withColumn("z", F.greatest(*[f"z{f}" for f in range(-1, FOLDS)])).where("z > 0").toPandas()
     kept["token"] = kept["token"].to_numpy().astype(np.int64).view(U)
     kept = kept.sort_values("token")
 
@@ -234,7 +236,7 @@ def find_toxic(docs: DataFrame, model: Model, text: str = "text", alpha: float =
     text is at most ``alpha``; word positions count runs of letters and digits.
     """
     names = [c if c.lower() not in {x.lower() for x in docs.columns} else fresh(docs, f"toxic_{c}") for c in ("score", "predicted", "passages")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_TOKENS tokens
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the sample's significant tokens
     at = docs.columns.index(text)
     inner = [f"c{i}" for i in range(len(docs.columns))]
     inner[at] = "text"

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -75,7 +77,7 @@ def edited(rng, text, edits):
 
 def test_members_of_a_group_that_are_unlike_its_least_id(spark, monkeypatch):
     """One group only: its least id is unlike all others, and c is similar to b, a confirmed member, but not to a."""
-    monkeypatch.setattr(near_dedup, "order_minhash", lambda data, offsets, sketches, shingle: (np.zeros((len(offsets) - 1, sketches), np.uint64) + np.arange(sketches, dtype=np.uint64), np.ones(len(offsets) - 1, bool)))
+    monkeypatch.setattr(near_dedup, "order_minhash", lambda data, offsets, sketches, *_: (np.zeros((len(offsets) - 1, sketches), np.uint64) + np.arange(sketches, dtype=np.uint64), np.ones(len(offsets) - 1, bool)))
     monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 8)
     monkeypatch.setattr(near_dedup, "PARTNERS", 1)
     rng = random.Random(3)
@@ -108,15 +110,54 @@ def test_short_texts_are_exact(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_classes(docs).collect()} == want
 
 
-def test_recall_near_the_bound():
-    """Isolated pairs of 200 words with scattered replacements that share a sketch."""
+@pytest.mark.parametrize("n", [30, 60, 200, 600])
+def test_recall_near_the_bound(n):
+    """Isolated pairs of n words with scattered replacements that share a sketch, by similarity."""
     rng = random.Random(5)
-    for share, least in ((0.8, 0.98), (0.85, 0.99), (0.9, 0.995)):
+    for share, least in ((0.8, 0.98 if n >= 200 else 0.95), (0.85, 0.99), (0.9, 0.995)):
         texts = []
-        for _ in range(500):
-            a = [f"{rng.random()}" for _ in range(200)]
-            texts += [a, edited(rng, a, round(200 * (1 - share)))]
+        for _ in range(300):
+            a = [f"{rng.random()}" for _ in range(n)]
+            texts += [a, edited(rng, a, round(n * (1 - share)))]
         raw = [" ".join(t).encode() for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
         values, _ = near_dedup.order_minhash(np.frombuffer(b"".join(raw), np.uint8), offsets)
         assert (values[::2] == values[1::2]).any(1).mean() >= least, share
+
+
+@pytest.mark.parametrize("kept", [1, 3])
+def test_number_of_runs_kept(kept):
+    """Fewer or more runs a sketch, and as many sketches as the same recall needs."""
+    rng = np.random.default_rng(3)
+    sketches, met = near_dedup.sketches_for(0.8, 3, 0.95, kept), 0
+    for _ in range(100):
+        a = rng.integers(0, 1 << 30, 200)
+        b = a.copy()
+        b[rng.choice(200, 30, replace=False)] += 1
+        raw = [" ".join(map(str, x)).encode() for x in (a, b)]
+        values, _ = near_dedup.order_minhash(np.frombuffer(b"".join(raw), np.uint8), np.array([0, len(raw[0]), sum(map(len, raw))]), sketches, 3, kept)
+        met += bool((values[0] == values[1]).any())
+    assert met >= 95
+
+
+def test_long_texts_take_linear_memory():
+    """Forty thousand words, a fifth of them common, a tenth of them other than the text's: exact, in a few megabytes."""
+    rng = np.random.default_rng(4)
+    a = np.where(rng.random(40_000) < 0.2, rng.integers(0, 50, 40_000), rng.integers(1 << 20, 1 << 40, 40_000)).tolist()
+    b = list(a)
+    for i in range(0, 40_000, 10):
+        b[i] = -i - 1
+    tracemalloc.start()
+    assert banded_distance(a, b, 8_000) == 4_000
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+
+
+def test_text_of_many_pairs(spark, monkeypatch):
+    """One text's pairs dealt into parts; every copy finds it."""
+    monkeypatch.setattr(near_dedup, "SPLIT_PAIRS", 7)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if k != i else f"x{i}" for k, w in enumerate(words)), "k") for i in range(100)]
+    docs = spark.createDataFrame(rows + [(500, "some other text of its own", "k")], "doc_id long, text string, class_id string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"] > 0) for r in near_classes(docs).collect()}
+    assert got == {i: (0, True) for i in range(100)} | {500: (500, False)}
