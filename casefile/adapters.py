@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.numbers import number_year_from_url
+from .operators.chunking import chunk_pages, drop_short_chunks, number_chunks
 
 PRIMARY, OLD = "https://www.primary.example.org/files/", "http://www.old.example.net/pdf/"
 
@@ -32,10 +33,11 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 3).cast("string").alias("decision_id"), (F.col("vec_id") % 3).cast("int").alias("idx"), F.col("embedding").alias("vec"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("decision_id"), F.col("text").alias("body"))
-    text = F.coalesce(F.substr("body", F.col("idx") * 1200 + 1, F.lit(1400)), F.lit(""))
-    return e.join(d, "decision_id", "left").select("decision_id", "idx", F.lit(1).alias("page"), text.alias("text"), "vec")
+    """Every document's numbered chunks, with vectors of the embeddings dealt to them."""
+    e = table(spark, sf_dir, "embeddings")
+    made = number_chunks(drop_short_chunks(chunk_pages(pages(spark, sf_dir))))
+    made = made.withColumn("vec_id", (F.col("decision_id").cast("long") * 7 + F.col("idx")) % F.lit(e.count()))
+    return made.join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("decision_id", "idx", "page", "text", "vec")
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "benchmark").withColumn("vec_id", F.col("item_id") * 7 % F.lit(n)).withColumn("wanted", (F.col("item_id") * 3).cast("string"))
     rows = b.join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id", "left").join(decisions(spark, sf_dir).select(F.col("id").alias("wanted"), "number", "year"), "wanted", "left")
     ref = F.when((F.col("item_id") % 4 == 0) & F.col("number").isNotNull(), F.concat(F.lit(" "), F.col("number"), F.lit("/"), F.col("year"))).otherwise(F.lit(""))
-    return rows.select(F.col("item_id").alias("query_id"), F.concat(F.substring("text", 1, 80), ref).alias("text"), "vec")
+    return rows.select(F.col("item_id").alias("query_id"), F.concat("text", ref).alias("text"), "vec")
 
 
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,9 +19,10 @@ def message_counts(messages: DataFrame) -> DataFrame:
 
 
 def list_chats(chats: DataFrame, messages: DataFrame, owners: DataFrame, shared: bool = False) -> DataFrame:
-    """Per owner of ``owners``: chats, newest first, with their number of messages."""
-    asked = owners.where((F.coalesce("owner", F.lit("")) != "") | F.lit(shared)).select(F.col("owner").alias("viewer")).distinct()
-    seen = chats.join(asked, F.lit(True) if shared else chats["owner"] == asked["viewer"])
+    """Per owner of ``owners``: chats, newest first, with their number of messages. Where chats are shared all owners see
+    the same: one listing, with no viewer."""
+    asked = owners.where(F.coalesce("owner", F.lit("")) != "").select(F.col("owner").alias("viewer")).distinct()
+    seen = chats.withColumn("viewer", F.lit(None).cast("string")) if shared else chats.join(asked, chats["owner"] == asked["viewer"])
     n = message_counts(messages)
     rows = seen.join(n, seen["id"] == n["chat_id"], "left")
     return rows.select("viewer", "id", "title", "updated_at", F.coalesce("n_messages", F.lit(0)).alias("n_messages")).orderBy("viewer", F.desc("updated_at"), F.desc("id"))

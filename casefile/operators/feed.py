@@ -22,12 +22,12 @@ def _parsed(feed: DataFrame) -> DataFrame:
     return rows.withColumn("pdf_url", url)
 
 
-def parse_feed_rows(feed: DataFrame) -> DataFrame:
-    """Decision rows of the feed rows that link a document; null cells count as empty."""
+def parse_feed_rows(feed: DataFrame, *keep: str) -> DataFrame:
+    """Decision rows of the feed rows that link a document; null cells count as empty. Columns to ``keep`` come last."""
     rows = _parsed(feed).where("pdf_url is not null")
     named = numbers.number_year_from_url(F.col("pdf_url"))
     cell = lambda i: F.coalesce(F.get("cells", F.lit(i)), F.lit(""))
-    return rows.select(cell(0).alias("id"), named["number"].alias("number"), named["year"].alias("year"), pick_dtype(F.col("cells")).alias("dtype"), "pdf_url", cell(2).alias("source_date"), F.to_json("cells").alias("raw_json"), F.date_trunc("second", F.current_timestamp()).alias("scraped_at"))
+    return rows.select(cell(0).alias("id"), named["number"].alias("number"), named["year"].alias("year"), pick_dtype(F.col("cells")).alias("dtype"), "pdf_url", cell(2).alias("source_date"), F.to_json("cells").alias("raw_json"), F.date_trunc("second", F.current_timestamp()).alias("scraped_at"), *keep)
 
 
 def feed_tallies(feed: DataFrame) -> DataFrame:

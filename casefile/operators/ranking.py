@@ -25,21 +25,29 @@ def _unit(rows) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
+def _comparable(rows: DataFrame, width: int | None = None) -> tuple[DataFrame, int]:
+    """Rows whose ``vec`` is finite and of ``width`` (by default the largest there is), and the width."""
+    fine = rows.where(F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    width = width or fine.agg(F.max(F.size("vec"))).first()[0] or 1
+    return fine.where(F.size("vec") == width), width
+
+
 def vector_topn(queries: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
     """``(query_id, decision_id, idx, sim)``: each query's n chunks of the highest cosine.
 
     Query vectors are broadcast in blocks of bounded size; a task keeps a running top n per query, and only these meet
-    in the final window. Null vectors take no part. Ties: decision_id, idx."""
-    asked = queries.where(F.col("vec").isNotNull()).select("query_id", "vec")
-    count, width = asked.agg(F.count("*"), F.max(F.size("vec"))).first()
-    blocks = max(1, math.ceil(count / max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * max(width or 1, 1))))))
-    rows = chunks.where(F.col("vec").isNotNull()).select("decision_id", "idx", "vec")
+    in the final window. Ties: decision_id, idx. Vectors that are null, hold null or non-finite components, or have
+    another width than the widest query take no part, nor do chunks without a decision or a place in it."""
+    asked, width = _comparable(queries.select("query_id", "vec"))
+    count = asked.count()
+    blocks = max(1, math.ceil(count / max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * width)))))
+    rows = _comparable(chunks.where("decision_id is not null and idx is not null").select("decision_id", "idx", "vec"), width)[0]
     id_type = queries.schema["query_id"].dataType.simpleString()
 
     def block(b: int) -> DataFrame:
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         got = part.toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast((got["query_id"].tolist(), _unit(got["vec"].tolist()) if len(got) else np.zeros((0, width or 1))))
+        shared = queries.sparkSession.sparkContext.broadcast((got["query_id"].tolist(), _unit(got["vec"].tolist()) if len(got) else np.zeros((0, width))))
 
         def run(batches):
             ids, matrix = shared.value
@@ -97,9 +105,12 @@ def force_refs(scored: DataFrame, refs: DataFrame, queries: DataFrame, chunks: D
 def rank_chunks(queries: DataFrame, chunks: DataFrame, decisions: DataFrame, pool: int = 200) -> DataFrame:
     """``(query_id, decision_id, idx, sim, score, forced)`` of each query's pool and referenced decisions."""
     features = queries.select("query_id", textnorm.search_tokens(F.col("text")).alias("_tokens"), textnorm.query_numbers(F.col("text")).alias("_numbers"))
-    rows = vector_topn(queries, chunks, pool).join(features, "query_id").join(chunks.select("decision_id", "idx", "text"), ["decision_id", "idx"])
+    # Texts are normalized on the chunks' side of the join, once each, and go no further than the count of hits.
+    plain = chunks.select("decision_id", "idx", textnorm.norm_text(F.coalesce("text", F.lit(""))).alias("_plain"))
+    rows = vector_topn(queries, chunks, pool).join(features, "query_id").join(plain, ["decision_id", "idx"])
+    rows = rows.select("query_id", "decision_id", "idx", "sim", "_numbers", keyword_hits(F.col("_tokens"), F.col("_plain")).alias("_hits"))
     rows = rows.join(decisions.select(F.col("id").alias("decision_id"), "number"), "decision_id", "left")
-    score = F.col("sim") + KEYWORD * keyword_hits(F.col("_tokens"), textnorm.norm_text(F.coalesce("text", F.lit("")))) + number_boost(F.col("_numbers"), F.col("number"))
+    score = F.col("sim") + KEYWORD * F.col("_hits") + number_boost(F.col("_numbers"), F.col("number"))
     scored = rows.select("query_id", "decision_id", "idx", "sim", rounded(score).alias("score"), F.lit(False).alias("forced"))
     return force_refs(scored, match_refs(queries, decisions), queries, chunks)
 
@@ -114,13 +125,15 @@ def best_per_decision(scored: DataFrame, k: int) -> DataFrame:
 def target_rank(queries: DataFrame, chunks: DataFrame, targets: DataFrame) -> DataFrame:
     """``(query_id, decision_id, target_rank)``: the cosine rank, over all chunks, of a wanted decision's best chunk.
 
-    Targets are one decision per query; chunks above it are counted by a sum in each task."""
-    asked = queries.select("query_id", F.col("vec").alias("_q")).join(targets, "query_id")
-    best = asked.join(chunks.select("decision_id", "vec"), "decision_id").groupBy("query_id", "decision_id").agg(F.max(rounded(cosine(F.col("_q"), F.col("vec")))).alias("best"))
+    Targets are one decision per query; chunks above it are counted by a sum in each task. Vectors take part as in
+    ``vector_topn``."""
+    asked, width = _comparable(queries.select("query_id", "vec"))
+    asked = asked.withColumnRenamed("vec", "_q").join(targets, "query_id")
+    vectors = _comparable(chunks.where("decision_id is not null").select("decision_id", "vec"), width)[0]
+    best = asked.join(vectors, "decision_id").groupBy("query_id", "decision_id").agg(F.max(rounded(cosine(F.col("_q"), F.col("vec")))).alias("best"))
     rows = asked.join(best, ["query_id", "decision_id"]).where("best is not null")
-    count, width = rows.agg(F.count("*"), F.max(F.size("_q"))).first()
-    blocks = max(1, math.ceil(count / max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * max(width or 1, 1))))))
-    id_type, vectors = queries.schema["query_id"].dataType.simpleString(), chunks.where(F.col("vec").isNotNull()).select("vec")
+    blocks = max(1, math.ceil(rows.count() / max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * width)))))
+    id_type, vectors = queries.schema["query_id"].dataType.simpleString(), vectors.select("vec")
 
     def block(b: int) -> DataFrame:
         got = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toPandas()

@@ -30,13 +30,19 @@ def upsert_decisions(current: DataFrame, incoming: DataFrame, arrival: str | Non
     return both.select(*[filled.get(c, F.col(c)).alias(c) for c in current.columns])
 
 
-def select_pending(decisions: DataFrame, year: str | None = None, min_year: int | None = None, limit: int | None = None) -> DataFrame:
-    """Decisions still to be done, newest year and highest number first; options that are empty or 0 are off."""
+def pending(decisions: DataFrame, year: str | None = None, min_year: int | None = None) -> DataFrame:
+    """Decisions still to be done, in no order; options that are empty or 0 are off."""
     rows = decisions.where(F.col("status").isin("new", "error"))
     if year:
         rows = rows.where(F.col("year") == str(year))
     if min_year:
         rows = rows.where(leading_int(F.col("year")) >= int(min_year))
+    return rows
+
+
+def select_pending(decisions: DataFrame, year: str | None = None, min_year: int | None = None, limit: int | None = None) -> DataFrame:
+    """Decisions still to be done, newest year and highest number first; options that are empty or 0 are off."""
+    rows = pending(decisions, year, min_year)
     rows = rows.orderBy(leading_int(F.col("year")).desc(), leading_int(F.col("number")).desc(), "id")
     return rows.limit(limit) if limit else rows
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,9 @@ from .operators import feed as P
 from .operators import ranking as R
 from .operators import tables as U
 from .plans import search as S
-from .sources.readers import extract_pages, results_json
+from .plans.refresh import current, publish
+from .sources.readers import extract_pages, read_documents, read_feed, read_results, read_tables, shared_folder, write_results
+from .streaming.jobs import stream_feed_upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -45,15 +48,20 @@ raw_decisions AS (
   FROM raw_decisions
 )"""
 _INT = "coalesce(try_cast(nullif(regexp_extract({0}, '^\\s*([+-]?[0-9]+)', 1), '') AS INTEGER), 0)"
-_CHUNKS = """
-chunks AS (
-  SELECT CAST(vec_id // 3 AS VARCHAR) AS decision_id, vec_id % 3 AS idx, embedding AS vec,
-    coalesce(substring(text, (vec_id % 3) * 1200 + 1, 1400), '') AS text
-  FROM embeddings LEFT JOIN documents ON doc_id = vec_id // 3
+_FLAT = "trim(regexp_replace(text, '[\\s\\x1c-\\x1f\\x0b\\x85\\p{Z}]+', ' ', 'g'), ' ')"
+_WINDOWS = f"""flat AS (SELECT CAST(doc_id AS VARCHAR) AS decision_id, {_FLAT} AS t FROM documents), windows AS (
+  SELECT decision_id, i AS pos, substring(t, i * 1200 + 1, 1400) AS text FROM (
+    SELECT decision_id, t, unnest(range(CASE WHEN length(t) = 0 THEN 0 WHEN length(t) <= 1400 THEN 1 ELSE CAST(ceil((length(t) - 1400) / 1200.0) AS BIGINT) + 1 END)) AS i FROM flat)
+), numbered AS (
+  SELECT decision_id, row_number() OVER (PARTITION BY decision_id ORDER BY pos) - 1 AS idx, text FROM windows WHERE length(trim(text, ' ')) >= 40
+)"""
+_CHUNKS = f"""{_WINDOWS}, chunks AS (
+  SELECT decision_id, idx, embedding AS vec, text
+  FROM numbered JOIN embeddings ON vec_id = (CAST(decision_id AS BIGINT) * 7 + idx) % (SELECT count(*) FROM embeddings)
 )"""
 _QUERIES = """
 asked AS (
-  SELECT item_id AS query_id, embedding AS vec, substring(text, 1, 80) ||
+  SELECT item_id AS query_id, embedding AS vec, text ||
     CASE WHEN item_id % 4 = 0 AND number IS NOT NULL THEN ' ' || number || '/' || year ELSE '' END AS text
   FROM benchmark LEFT JOIN embeddings ON vec_id = (item_id * 7) % (SELECT count(*) FROM embeddings)
   LEFT JOIN decisions ON id = CAST(item_id * 3 AS VARCHAR)
@@ -193,28 +201,32 @@ def _(spark, d):
     return R.target_rank(q, c, q.select("query_id", (F.col("query_id") * 3).cast("string").alias("decision_id")))
 
 
-_KEYWORD_SQL = f"""WITH {_DECISIONS}, {_CHUNKS}, {_QUERIES}
-SELECT query_id, decision_id, idx, len(list_filter({_TOKENS.format("asked.text")}, lambda t: contains({_NORM.format("chunks.text")}, t))) AS hits,
-  CASE WHEN list_contains({_NUMBERS.format("asked.text")}, regexp_replace(number, '[^0-9]', '', 'g')) THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS boost
-FROM asked JOIN decisions ON decisions.doc_id % 40 = query_id % 40 JOIN chunks ON decision_id = decisions.id"""
+_KEYWORD_SQL = f"""{_SEARCH}, {_pooled(100)}
+SELECT query_id, decision_id, idx, len(list_filter({_TOKENS.format("query")}, lambda t: contains({_NORM.format("text")}, t))) AS hits,
+  CASE WHEN list_contains({_NUMBERS.format("query")}, regexp_replace(number, '[^0-9]', '', 'g')) THEN 0.25::DOUBLE ELSE 0.0::DOUBLE END AS boost
+FROM pooled JOIN decisions ON decision_id = decisions.id"""
 
 
 @_query("keyword_and_number", _KEYWORD_SQL)
 def _(spark, d):
     q, c, m = _search_inputs(spark, d)
-    rows = m.select(F.col("id").alias("decision_id"), "number", (F.col("id").cast("long") % 40).alias("g")).join(q.select("query_id", F.col("text").alias("query"), (F.col("query_id") % 40).alias("g")), "g").join(c.select("decision_id", "idx", "text"), "decision_id")
-    return rows.select("query_id", "decision_id", "idx", R.keyword_hits(X.search_tokens(F.col("query")), X.norm_text(F.col("text"))).cast("long").alias("hits"), R.number_boost(X.query_numbers(F.col("query")), F.col("number")).alias("boost"))
+    asked = q.select("query_id", X.search_tokens(F.col("text")).alias("tokens"), X.query_numbers(F.col("text")).alias("numbers"))
+    plain = c.select("decision_id", "idx", X.norm_text(F.col("text")).alias("plain"))
+    rows = R.vector_topn(q, c, 100).join(asked, "query_id").join(plain, ["decision_id", "idx"]).join(m.select(F.col("id").alias("decision_id"), "number"), "decision_id")
+    return rows.select("query_id", "decision_id", "idx", R.keyword_hits(F.col("tokens"), F.col("plain")).cast("long").alias("hits"), R.number_boost(F.col("numbers"), F.col("number")).alias("boost"))
 
 
 _JSON_SQL = f"""{_SEARCH}, {_pooled(200)}, {_best(8)}
-SELECT text AS query, count(*) AS n_results, min_by(decision_id, rank) AS first FROM best JOIN asked USING (query_id) GROUP BY text"""
+SELECT asked.text AS query, count(*) AS n_results, string_agg(concat_ws('|', number, year, dtype, pdf_url, CAST(round(score * 10000) AS BIGINT), {_SNIPPET.format("chunks.text")}, {_TITLE}), chr(10) ORDER BY rank) AS results
+FROM best JOIN chunks USING (decision_id, idx) JOIN decisions ON decisions.id = decision_id JOIN asked USING (query_id) GROUP BY asked.text"""
 
 
 @_query("results_json", _JSON_SQL)
 def _(spark, d):
-    hits = S.search(*_search_inputs(spark, d))
-    first = hits.groupBy("query").agg(F.min_by("decision_id", "rank").alias("first"))
-    return results_json(hits).select("query", F.size("results").cast("long").alias("n_results")).join(first, "query").select("query", "n_results", "first")
+    hit = lambda h: F.concat_ws("|", h["number"], h["year"], h["type"], h["pdf_url"], F.round(h["score"] * 10000).cast("long"), h["snippet"], h["title"])
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    write_results(S.search(*_search_inputs(spark, d)), path)
+    return read_results(spark, path).select("query", F.size("results").cast("long").alias("n_results"), F.array_join(F.transform("results", hit), "\n").alias("results"))
 
 
 # --- numbers and feed -------------------------------------------------------------------------------------------
@@ -224,9 +236,9 @@ def _(spark, d):
     return A.decisions(spark, d).select("id", N.number_year_from_url(F.col("pdf_url")).alias("n")).select("id", "n.number", "n.year")
 
 
-@_query("normalize_number", f"SELECT doc_id, {_FOLD.format("trim(replace(substring(text, 1, 60), 'ß', 'ss'), ' ' || chr(9) || chr(10) || chr(13))")} AS number, regexp_replace(text, '[^0-9]', '', 'g') AS digits FROM documents")
+@_query("normalize_number", f"SELECT doc_id, {_FOLD.format("trim(replace(text, 'ß', 'ss'), ' ' || chr(9) || chr(10) || chr(13))")} AS number, regexp_replace(text, '[^0-9]', '', 'g') AS digits FROM documents")
 def _(spark, d):
-    return A.table(spark, d, "documents").select("doc_id", N.normalize_number(F.substring("text", 1, 60)).alias("number"), N.digits_of(F.col("text")).alias("digits"))
+    return A.table(spark, d, "documents").select("doc_id", N.normalize_number(F.col("text")).alias("number"), N.digits_of(F.col("text")).alias("digits"))
 
 
 @_query("number_shape_profile", rf"WITH {_DECISIONS} SELECT CASE WHEN regexp_matches(pdf_url, 'Apofasi-') THEN regexp_extract(pdf_url, 'Apofasi-([A-ZΑ-Ω]*)[0-9]', 1) ELSE 'unparseable' END AS shape, count(*) AS n FROM decisions GROUP BY 1")
@@ -267,9 +279,11 @@ def _(spark, d):
     return P.resolve_fetches(urls, first.unionByName(second))
 
 
-@_query("file_name_collisions", f"WITH {_DECISIONS}, named AS (SELECT id, split_part(pdf_url, '/', -1) AS file_name FROM decisions) SELECT id, file_name FROM named WHERE file_name IN (SELECT file_name FROM named GROUP BY 1 HAVING count(DISTINCT id) > 1)")
+@_query("file_name_collisions", f"WITH {_DECISIONS}, named AS (SELECT id, split_part(pdf_url, '/', -1) AS file_name FROM decisions UNION ALL SELECT id || '-again', split_part(pdf_url, '/', -1) FROM decisions WHERE doc_id % 5 = 0) SELECT id, file_name FROM named WHERE file_name IN (SELECT file_name FROM named GROUP BY 1 HAVING count(DISTINCT id) > 1)")
 def _(spark, d):
-    return P.file_name_collisions(A.decisions(spark, d)).select("id", "file_name")
+    m = A.decisions(spark, d)
+    again = m.where(F.col("id").cast("long") % 5 == 0).withColumn("id", F.concat("id", F.lit("-again")))
+    return P.file_name_collisions(m.unionByName(again)).select("id", "file_name")
 
 
 @_query("repair_numbers", f"WITH {_DECISIONS} SELECT id, CASE WHEN number <> '' THEN number ELSE CASE WHEN doc_id % 2 = 0 THEN '' END END AS number, CASE WHEN number <> '' THEN year ELSE '' END AS year, number <> '' AND doc_id % 3 <> 1 AS changed FROM decisions")
@@ -316,15 +330,6 @@ def _(spark, d):
     return U.select_pending(A.decisions(spark, d), min_year=U.recent_min_year(dt.datetime(2025, 6, 1, tzinfo=dt.timezone.utc))).select("id")
 
 
-_FLAT = "trim(regexp_replace(text, '[\\s\\x1c-\\x1f\\x0b\\x85\\p{Z}]+', ' ', 'g'), ' ')"
-_WINDOWS = f"""flat AS (SELECT CAST(doc_id AS VARCHAR) AS decision_id, {_FLAT} AS t FROM documents), windows AS (
-  SELECT decision_id, i AS pos, substring(t, i * 1200 + 1, 1400) AS text FROM (
-    SELECT decision_id, t, unnest(range(CASE WHEN length(t) = 0 THEN 0 WHEN length(t) <= 1400 THEN 1 ELSE CAST(ceil((length(t) - 1400) / 1200.0) AS BIGINT) + 1 END)) AS i FROM flat)
-), numbered AS (
-  SELECT decision_id, row_number() OVER (PARTITION BY decision_id ORDER BY pos) - 1 AS idx, text FROM windows WHERE length(trim(text, ' ')) >= 40
-)"""
-
-
 @_query("collapse_whitespace", f"SELECT doc_id, {_FLAT} AS flat FROM documents")
 def _(spark, d):
     return A.table(spark, d, "documents").select("doc_id", X.collapse_whitespace(F.col("text")).alias("flat"))
@@ -380,13 +385,14 @@ def _(spark, d):
     return U.corpus_stats(A.decisions(spark, d), A.chunks(spark, d))
 
 
-@_query("replace_chunks", f"WITH {_CHUNKS}, {_WINDOWS} SELECT decision_id, idx, text FROM chunks WHERE CAST(decision_id AS BIGINT) % 3 <> 0 UNION ALL SELECT decision_id, idx, text FROM numbered WHERE CAST(decision_id AS BIGINT) % 3 = 0")
+@_query("replace_chunks", f"WITH {_CHUNKS} SELECT decision_id, idx, text || CASE WHEN CAST(decision_id AS BIGINT) % 2 = 0 THEN ' (old)' ELSE '' END AS text FROM chunks WHERE CAST(decision_id AS BIGINT) % 3 <> 0 UNION ALL SELECT decision_id, idx, text FROM numbered WHERE CAST(decision_id AS BIGINT) % 3 = 0")
 def _(spark, d):
     third = F.col("decision_id").cast("long") % 3 == 0
     new = _built(spark, d).where(third).select("decision_id", "idx", "page", "text", F.lit(None).cast("array<float>").alias("vec"))
     ids = A.decisions(spark, d).select(F.col("id").alias("decision_id")).where(third)
     ids = ids.union(A.chunks(spark, d).select("decision_id").where(third)).distinct()
-    return U.replace_chunks(A.chunks(spark, d), new, ids).select("decision_id", F.col("idx").cast("long").alias("idx"), "text")
+    old = A.chunks(spark, d).withColumn("text", F.concat("text", F.when(F.col("decision_id").cast("long") % 2 == 0, " (old)").otherwise("")))
+    return U.replace_chunks(old, new, ids).select("decision_id", F.col("idx").cast("long").alias("idx"), "text")
 
 
 # --- text functions ---------------------------------------------------------------------------------------------
@@ -419,9 +425,17 @@ def _(spark, d):
 
 # --- vectors ----------------------------------------------------------------------------------------------------
 
-@_query("l2_normalize", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 9) AS total FROM embeddings")
+_MICRO = "array_to_string(list_transform({0}, lambda x: CAST(floor(x * 1000000.0 + 0.5) AS BIGINT)), ' ')"
+
+
+def _micro(c):
+    """A vector's components in millionths, as text."""
+    return F.array_join(F.transform(c, lambda x: F.floor(x.cast("double") * 1000000.0 + 0.5).cast("string")), " ")
+
+
+@_query("l2_normalize", "SELECT vec_id, " + _MICRO.format("list_transform(v, lambda x: x / n)") + " AS micro FROM (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)")
 def _(spark, d):
-    return A.table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(V.l2_normalize(F.col("embedding")), F.lit(0.0), lambda s, x: s + x), 9).alias("total"))
+    return A.table(spark, d, "embeddings").select("vec_id", _micro(V.l2_normalize(F.col("embedding"))).alias("micro"))
 
 
 @_query("cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -431,10 +445,10 @@ def _(spark, d):
     return e.join(after, "vec_id").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("next")), 9).alias("sim"))
 
 
-@_query("vector_codec", "SELECT vec_id, len(embedding) * 4 AS n_bytes, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 9) AS total FROM embeddings")
+@_query("vector_codec", "SELECT vec_id, len(embedding) * 4 AS n_bytes, " + _MICRO.format("embedding::DOUBLE[]") + " AS micro FROM embeddings")
 def _(spark, d):
     e = A.table(spark, d, "embeddings").select("vec_id", V.encode_vector(F.col("embedding")).alias("b"))
-    return e.select("vec_id", F.octet_length("b").cast("long").alias("n_bytes"), F.round(F.aggregate(V.decode_vector(F.col("b")), F.lit(0.0), lambda s, x: s + x.cast("double")), 9).alias("total"))
+    return e.select("vec_id", F.octet_length("b").cast("long").alias("n_bytes"), _micro(V.decode_vector(F.col("b"))).alias("micro"))
 
 
 @_query("vector_agreement", "SELECT round(avg(s), 9) AS mean_cosine, round(min(s), 9) AS min_cosine FROM (SELECT list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)")
@@ -499,7 +513,7 @@ def _(spark, d):
 
 _HITS = f"""{_SEARCH}, {_pooled(250)}, {_best(10)}, hits AS (
   SELECT query_id, rank, number, year, dtype, pdf_url, chunks.text AS text, {_TITLE} AS title
-  FROM best JOIN chunks USING (decision_id, idx) JOIN decisions ON decisions.id = decision_id WHERE query_id % 5 <> 0
+  FROM best JOIN chunks USING (decision_id, idx) JOIN decisions ON decisions.id = decision_id
 ), contexts AS (
   SELECT query_id, coalesce(string_agg('[' || number || '/' || year || '] (' || dtype || ')' || chr(10) || substring(h.text, 1, 1200), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank), '{G.NO_CONTEXT}') AS context
   FROM asked LEFT JOIN hits h USING (query_id) GROUP BY query_id
@@ -507,7 +521,7 @@ _HITS = f"""{_SEARCH}, {_pooled(250)}, {_best(10)}, hits AS (
 
 
 def _hits(spark, d):
-    return S.top_chunks(*_search_inputs(spark, d)).where("query_id % 5 != 0")
+    return S.top_chunks(*_search_inputs(spark, d))
 
 
 @_query("context_blocks", f"{_HITS} SELECT query_id, context FROM contexts")
@@ -567,14 +581,14 @@ def _(spark, d):
 
 
 _TRANSCRIPT_SQL = f"""WITH {_CHATS}, {_ASKS}
-SELECT m.chat_id, m.id, role, content, CASE WHEN role <> 'assistant' THEN NULL WHEN (m.id % 1000) % 2 = 0 THEN 0 ELSE 1 END AS n_sources
+SELECT m.chat_id, m.id, role, content, CASE WHEN role <> 'assistant' THEN NULL WHEN (m.id % 1000) % 2 = 0 THEN '[]' ELSE '[{{"number":"' || chat_id || '","year":"2024"}}]' END AS sources
 FROM messages m WHERE chat_id IN (SELECT chat_id FROM mine)"""
 
 
 @_query("chat_transcript", _TRANSCRIPT_SQL)
 def _(spark, d):
     out = C.chat_transcript(A.messages(spark, d), _requests(spark, d), A.chats(spark, d))
-    return out.select("chat_id", "id", "role", "content", F.when(F.col("sources").isNotNull(), F.size("sources")).cast("long").alias("n_sources"))
+    return out.select("chat_id", "id", "role", "content", F.to_json("sources").alias("sources"))
 
 
 _APPEND_SQL = f"""WITH {_CHATS}, added AS (SELECT id + 500 AS id, chat_id, content, at_s + 7 AS at_s FROM messages WHERE chat_id % 2 = 0 AND role = 'user'), latest AS (SELECT chat_id, max(at_s) AS at_s FROM added GROUP BY 1)
@@ -667,3 +681,50 @@ def _(spark, d):
     n = F.col("seq") % 5
     line = F.when(n == 0, F.lit("data: [DONE]")).when(n == 1, F.lit(": wait")).otherwise(F.concat(F.lit('data: {"choices":[{"delta":{"content":"'), "token", F.lit('"}}]}')))
     return H.parse_token_lines(A.token_events(spark, d).withColumn("line", line), "openai").select("turn_id", "seq", "token")
+
+
+# --- sources and streams, over files that the given tables are written to ---------------------------------------
+
+def _pages(spark, d, folder):
+    """The feed landed as pages of 500 rows, a file each."""
+    rows = _feed(spark, d).withColumn("page", F.floor(F.get("cells", F.lit(0)).cast("long") / 500))
+    pages = rows.groupBy("page", "recordsTotal").agg(F.collect_list("cells").alias("data"))
+    pages.select("recordsTotal", "data").write.option("maxRecordsPerFile", 1).json(folder)
+
+
+@_query("read_feed", f"WITH {_DECISIONS} SELECT id, number, year, dtype, pdf_url, '01/01/' || year AS source_date, 9::BIGINT AS announced FROM decisions WHERE doc_id % 7 <> 0")
+def _(spark, d):
+    folder = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
+    _pages(spark, d, folder)
+    return P.parse_feed_rows(read_feed(spark, folder).withColumnRenamed("recordsTotal", "announced").withColumn("recordsTotal", F.lit(0)), "announced").select("id", "number", "year", "dtype", "pdf_url", "source_date", "announced")
+
+
+@_query("read_tables", f"WITH {_DECISIONS}, {_CHUNKS} SELECT d.id, d.number, d.status, c.idx, c.text, " + _MICRO.format("c.vec::DOUBLE[]") + " AS micro FROM decisions d JOIN chunks c ON c.decision_id = d.id")
+def _(spark, d):
+    folder = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    A.decisions(spark, d).write.parquet(f"{folder}/decisions")
+    A.chunks(spark, d).write.parquet(f"{folder}/chunks")
+    decisions, chunks = read_tables(spark, folder)
+    return decisions.select("id", "number", "status").join(chunks.withColumnRenamed("decision_id", "id"), "id").select("id", "number", "status", F.col("idx").cast("long").alias("idx"), "text", _micro(F.col("vec")).alias("micro"))
+
+
+@_query("read_documents", "SELECT doc_id, sha256(replace(text, chr(10), chr(12))) AS sha FROM documents")
+def _(spark, d):
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    A.table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("|"), F.translate("text", "\n", "\f")).alias("value")).write.text(folder)
+    lines = read_documents(spark, folder, "*.txt").select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line")).where("line != ''")
+    return lines.select(F.substring_index("line", "|", 1).cast("long").alias("doc_id"), F.sha2(F.expr("substring(line, instr(line, '|') + 1)"), 256).alias("sha"))
+
+
+_STREAM_SQL = f"""WITH {_DECISIONS} SELECT id, CASE WHEN doc_id % 7 = 0 THEN number || '-old' ELSE number END AS number, CASE WHEN doc_id % 2 = 0 THEN status ELSE 'new' END AS status
+FROM decisions WHERE doc_id % 2 = 0 OR doc_id % 7 <> 0"""
+
+
+@_query("stream_feed_upsert", _STREAM_SQL)
+def _(spark, d):
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    known = A.decisions(spark, d).where(F.col("id").cast("long") % 2 == 0).withColumn("number", F.concat("number", F.lit("-old")))
+    publish(known, root, "decisions")
+    _pages(spark, d, f"{root}/landing")
+    stream_feed_upsert(spark, f"{root}/landing", root, f"{root}/checkpoint").awaitTermination()
+    return current(spark, root, "decisions").select("id", "number", "status")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,6 +12,18 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets
+    a new one, and a cluster an error: its machines share no temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if folder or current.isDefined():
+        return folder or current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """Rows ``(recordsTotal, cells)`` of landed feed pages; a page without rows gives none."""
     pages = spark.read.schema(schemas.FEED).option("multiLine", True).json(path)
@@ -62,6 +75,12 @@ def results_json(results: DataFrame) -> DataFrame:
     return results.groupBy("query").agg(F.array_sort(F.collect_list(hit)).alias("hits")).select("query", F.transform("hits", lambda h: h.dropFields("rank")).alias("results"))
 
 
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """``(query, results)`` of files that ``write_results`` wrote."""
+    hit = "number string, year string, type string, pdf_url string, score double, snippet string, title string"
+    return spark.read.schema(f"query string, results array<struct<{hit.replace(' ', ':').replace(',:', ',')}>>").json(path)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """One JSON object per query; non-ASCII text is written as it is."""
     results_json(results).write.mode("overwrite").json(path)

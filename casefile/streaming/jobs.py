@@ -14,14 +14,15 @@ from ..plans.refresh import current, publish, refresh
 
 
 def stream_feed_upsert(spark: SparkSession, landing: str, root: str, checkpoint: str) -> StreamingQuery:
-    """Upserts every landed feed page into the published decision table; pages that come again change nothing."""
+    """Upserts every landed feed page into the published decision table; pages that come again change nothing. Of rows
+    of one id the last wins: that of the newest file (of equally new ones, of the last by name), then the last in it."""
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        rows = parse_feed_rows(batch.select("recordsTotal", F.posexplode("data").alias("pos", "cells")))
-        once = rows.withColumn("_p", F.monotonically_increasing_id())
-        publish(upsert_decisions(current(spark, root, "decisions"), once, "_p"), root, "decisions")
+        rows = batch.select("recordsTotal", "file", F.posexplode("data").alias("pos", "cells")).withColumn("arrival", F.struct("file", "pos"))
+        publish(upsert_decisions(current(spark, root, "decisions"), parse_feed_rows(rows, "arrival"), "arrival"), root, "decisions")
 
     pages = spark.readStream.schema(schemas.FEED).option("multiLine", True).json(landing)
+    pages = pages.select("recordsTotal", "data", F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("file"))
     return pages.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

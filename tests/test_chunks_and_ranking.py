@@ -104,3 +104,14 @@ def test_agreement_and_overlap(spark):
     x = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "query_id int, decision_id string, rank int")
     y = spark.createDataFrame([(1, "b", 1), (2, "c", 9)], "query_id int, decision_id string, rank int")
     assert E.topk_overlap(x, y, 2).first()["overlap"] == 0.25
+
+
+def test_topn_leaves_odd_vectors_out(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", 0, [1.0, 0.0]), (None, 0, [1.0, 0.0]), ("b", 0, [nan, 1.0]), ("c", 0, [1.0]), ("d", 0, [inf, 1.0]), ("e", 0, None), ("f", 0, [None, 1.0]), ("g", 0, [0.0, 0.0]), ("h", None, [1.0, 0.0])]
+    chunks = spark.createDataFrame(rows, "decision_id string, idx int, vec array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 1.0]), (2, [nan, 1.0]), (3, None), (4, [1.0])], "query_id long, vec array<double>")
+    got = [(r["query_id"], r["decision_id"]) for r in R.vector_topn(queries, chunks, 9).orderBy(F.desc("sim")).collect()]
+    assert got == [(1, "a"), (1, "g")]
+    targets = spark.createDataFrame([(1, "g"), (2, "a"), (4, "c")], "query_id long, decision_id string")
+    assert [tuple(r) for r in R.target_rank(queries, chunks, targets).collect()] == [(1, "g", 2)]

@@ -1,5 +1,8 @@
 import datetime as dt
 import json
+import os
+
+import pytest
 
 from casefile import schemas
 from casefile.operators import events as H
@@ -56,3 +59,37 @@ def test_debounce_stream(spark, tmp_path):
     last = [(1, 99, T0 + dt.timedelta(hours=1), "end of log")]
     out = streamed(spark, tmp_path, rows + last, schemas.KEYSTROKES, jobs.stream_debounce, "append", "queries")
     assert sorted(r["text"] for r in out.collect()) == ["query4", "query8"]
+
+
+def test_publish_is_old_or_new(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "root")
+    with pytest.raises(FileNotFoundError):
+        P.current(spark, root, "t")
+    for n in range(4):
+        P.publish(spark.createDataFrame([(n,)], "n long"), root, "t")
+        assert P.current(spark, root, "t").first()["n"] == n
+    assert len(list((tmp_path / "root").glob("t-*"))) == 2  # older tables are gone
+
+    def dies(*_):
+        raise RuntimeError("the driver is lost")
+
+    # A job that dies before its pointer, or while it writes it, leaves the old table.
+    monkeypatch.setattr(P, "_pointers", dies)
+    with pytest.raises(RuntimeError):
+        P.publish(spark.createDataFrame([(9,)], "n long"), root, "t")
+    monkeypatch.undo()
+    unfinished = tmp_path / "root" / "t.current" / "_temporary" / "0"
+    unfinished.mkdir(parents=True)
+    (unfinished / "part-0.parquet").write_bytes(b"PAR1")
+    assert P.current(spark, root, "t").first()["n"] == 3
+
+
+def test_last_row_of_the_newest_page_wins(spark, tmp_path):
+    landing, root = tmp_path / "landing", str(tmp_path / "root")
+    landing.mkdir()
+    P.publish(spark.createDataFrame([], schemas.DECISIONS), root, "decisions")
+    for name, dtype, when in (("z.json", "ΠΑΛΙΑ", 1_000_000), ("a.json", "ΝΕΑ", 2_000_000)):
+        feed_page(landing / name, "1", "1", dtype=dtype)
+        os.utime(landing / name, (when, when))
+    jobs.stream_feed_upsert(spark, str(landing), root, str(tmp_path / "cp")).awaitTermination()
+    assert [r["dtype"] for r in P.current(spark, root, "decisions").collect()] == ["ΝΕΑ"]
