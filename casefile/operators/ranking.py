@@ -129,7 +129,7 @@ def target_rank(queries: DataFrame, chunks: DataFrame, targets: DataFrame) -> Da
     ``vector_topn``."""
     asked, width = _comparable(queries.select("query_id", "vec"))
     asked = asked.withColumnRenamed("vec", "_q").join(targets, "query_id")
-    vectors = _comparable(chunks.where("decision_id is not null").select("decision_id", "vec"), width)[0]
+    vectors = _comparable(chunks.where("decision_id is not null and idx is not null").select("decision_id", "vec"), width)[0]
     best = asked.join(vectors, "decision_id").groupBy("query_id", "decision_id").agg(F.max(rounded(cosine(F.col("_q"), F.col("vec")))).alias("best"))
     rows = asked.join(best, ["query_id", "decision_id"]).where("best is not null")
     blocks = max(1, math.ceil(rows.count() / max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * width)))))
