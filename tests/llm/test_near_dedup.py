@@ -78,7 +78,7 @@ def edited(rng, text, edits):
 def test_members_of_a_group_that_are_unlike_its_least_id(spark, monkeypatch):
     """One group only: its least id is unlike all others, and c is similar to b, a confirmed member, but not to a."""
     monkeypatch.setattr(near_dedup, "order_minhash", lambda data, offsets, sketches, *_: (np.zeros((len(offsets) - 1, sketches), np.uint64) + np.arange(sketches, dtype=np.uint64), np.ones(len(offsets) - 1, bool)))
-    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 8)
+    monkeypatch.setattr(near_dedup, "KEY_TEXTS", 2)
     monkeypatch.setattr(near_dedup, "PARTNERS", 1)
     rng = random.Random(3)
     a = [f"a{i}" for i in range(100)]
