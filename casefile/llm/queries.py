@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, hard_negatives, line_dedup, near_dedup, quality, substring_dedup, token_files, toxicity, url_filter
+from . import ann, bpe, decontaminate, hard_negatives, lexical, line_dedup, near_dedup, quality, substring_dedup, token_files, toxicity, url_filter
 from .shared import held_out, shared_folder
 
 
@@ -95,6 +95,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_bpe": op10_bpe,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_lexical_search": op12_lexical_search,
 }
 
 _OP1_SQL = """
@@ -217,4 +222,24 @@ FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 80 * positive_sco
 QUALIFY rank <= 5
 """
 
-SQL: dict[str, str] = {"op11_hard_negatives": _OP11_SQL, "op1_line_dedup": _OP1_SQL, "op3_substring_dedup": _OP3_SQL, "op9_url_filter": _OP9_SQL}
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP12_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, len(w) AS n, w FROM (SELECT doc_id, {_TERMS} AS w FROM documents) WHERE len(w) > 0
+), totals AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM docs
+), asked AS (
+  SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL
+), postings AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM docs) SEMI JOIN asked USING (term) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY term, docs
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term), totals GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
+SQL: dict[str, str] = {"op11_hard_negatives": _OP11_SQL, "op12_lexical_search": _OP12_SQL, "op1_line_dedup": _OP1_SQL, "op3_substring_dedup": _OP3_SQL, "op9_url_filter": _OP9_SQL}
