@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, hard_negatives, lexical, line_dedup, near_dedup, quality, substring_dedup, token_files, toxicity, url_filter
+from . import ann, bpe, decontaminate, hard_negatives, lexical, line_dedup, near_dedup, quality, secrets, substring_dedup, token_files, toxicity, url_filter
 from .shared import held_out, shared_folder
 
 
@@ -99,6 +99,13 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.train(secrets.corpus_samples(docs)))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(kind) for kind, *_ in secrets.KINDS], F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -112,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_lexical_search": op12_lexical_search,
+    "op13_secrets": op13_secrets,
 }
 
 _OP1_SQL = """
