@@ -3,24 +3,32 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import numbers, textnorm
 from ..functions.vectors import cosine
 from .embedding import rounded
+from .postings import Index, as_index, token_hits
 
-#: Bytes of query vectors that are broadcast at a time, and queries at most.
-BLOCK_BYTES, BLOCK_QUERIES = 32 << 20, 4_096
+#: Bytes of query vectors that a task holds at a time, and queries at most; similarities that it holds at a time.
+BLOCK_BYTES, BLOCK_QUERIES, SIMS = 32 << 20, 4_096, 1 << 21
+#: Chunks that are streamed past a block of queries where there are several blocks, and pairs of a referenced decision in a task.
+STRIP_ROWS, PAIRS = 4_000_000, 1_000_000
 KEYWORD, NUMBER, REFERENCE = 0.03, 0.25, 1.0
 
 
-def _unit(rows) -> np.ndarray:
-    x = np.asarray(rows, float)
+def _unit(column) -> np.ndarray:
+    """The vectors of a column, which have one width, over their lengths."""
+    array = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    x = np.asarray(array.flatten().to_numpy(zero_copy_only=False), float).reshape(len(array), -1)
     n = np.sqrt((x * x).sum(1, keepdims=True))
     return x / np.where(n == 0, 1, n)
 
@@ -32,46 +40,126 @@ def _comparable(rows: DataFrame, width: int | None = None) -> tuple[DataFrame, i
     return fine.where(F.size("vec") == width), width
 
 
-def vector_topn(queries: DataFrame, chunks: DataFrame, n: int) -> DataFrame:
-    """``(query_id, decision_id, idx, sim)``: each query's n chunks of the highest cosine.
+def _past(asked: DataFrame, rows: DataFrame, width: int, make: Callable[[pa.Table], object], schema: T.StructType) -> DataFrame:
+    """Every chunk of ``rows`` past every query of ``asked``, which has a ``vec`` and what ``make`` needs.
 
-    Query vectors are broadcast in blocks of bounded size; a task keeps a running top n per query, and only these meet
-    in the final window. Ties: decision_id, idx. Vectors that are null, hold null or non-finite components, or have
-    another width than the widest query take no part, nor do chunks without a decision or a place in it."""
-    asked, width = _comparable(queries.select("query_id", "vec"))
+    ``make(queries)`` gives an object with ``add(rows)`` and ``result()``. Queries that fit one block are broadcast, and
+    chunks stay where they are. More queries are dealt into parts and chunks into strips: a partition holds a part's
+    queries first and then a strip's chunks, which stream by, so that one pass serves all queries and a task
+    holds one block of them."""
+    spark = asked.sparkSession
+    block = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * width)))
     count = asked.count()
-    blocks = max(1, math.ceil(count / max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * width)))))
-    rows = _comparable(chunks.where("decision_id is not null and idx is not null").select("decision_id", "idx", "vec"), width)[0]
-    id_type = queries.schema["query_id"].dataType.simpleString()
-
-    def block(b: int) -> DataFrame:
-        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        got = part.toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast((got["query_id"].tolist(), _unit(got["vec"].tolist()) if len(got) else np.zeros((0, width))))
-
-        def run(batches):
-            ids, matrix = shared.value
-            held = [(np.zeros(0, "U1"), np.zeros(0, np.int32), np.zeros(0))] * len(ids)
+    if not count:
+        return spark.createDataFrame([], schema)
+    if count <= block:
+        sink = pa.BufferOutputStream()
+        table = asked.toArrow()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        sent = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = make(pa.ipc.open_stream(sent.value).read_all())
             for batch in batches:
-                if not len(batch) or not ids:
-                    continue
-                names, places = batch["decision_id"].to_numpy().astype(str), batch["idx"].to_numpy()
-                sims = np.round(matrix @ _unit(batch["vec"].tolist()).T, 12)
-                for q, s in enumerate(sims):
-                    top = np.flatnonzero(s >= np.partition(s, len(s) - n)[len(s) - n]) if len(s) > n else np.arange(len(s))
-                    d, i, v = (np.concatenate([x, y[top]]) for x, y in zip(held[q], (names, places, s), strict=True))
-                    order = np.lexsort((i, d, -v))[:n]
-                    held[q] = d[order], i[order], v[order]
-            for q, (d, i, v) in enumerate(held):
-                if len(d):
-                    yield pd.DataFrame({"query_id": ids[q], "decision_id": d, "idx": i, "sim": v})
-
-        return rows.mapInPandas(run, f"query_id {id_type}, decision_id string, idx int, sim double")
-
-    found = block(0)
-    for b in range(1, blocks):
-        found = found.unionByName(block(b))
-    w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "decision_id", "idx")
+                held.add(pa.Table.from_batches([batch]))
+            yield from held.result().to_batches()
+
+        return rows.mapInArrow(run, schema)
+
+    total = rows.count()
+    strips = max(1, math.ceil(total / STRIP_ROWS), min(spark.sparkContext.defaultParallelism, total // 1_024))
+    parts = math.ceil(count / block)
+    q, c = asked.columns, rows.columns
+    number = lambda df, n: F.pmod(F.xxhash64(F.to_json(F.struct(*df.columns))), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    empty = lambda df: [F.lit(None).cast(f.dataType).alias(f"{'q' if df is asked else 'c'}_{f.name}") for f in df.schema]
+    one = asked.withColumn("_part", number(asked, parts)).select("_part", each(strips).alias("_strip"), F.lit(0).alias("_kind"), *[F.col(x).alias(f"q_{x}") for x in q], *empty(rows))
+    two = rows.withColumn("_strip", number(rows, strips)).select("_strip", each(parts).alias("_part"), F.lit(1).alias("_kind"), *[F.col(x).alias(f"c_{x}") for x in c], *empty(asked))
+    both = one.unionByName(two).withColumn("_group", F.col("_strip") * parts + F.col("_part")).drop("_strip", "_part").repartition(strips * parts, "_group").sortWithinPartitions("_group", "_kind")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, queries, held = None, [], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            of, kind = (table.column(n).to_numpy() for n in ("_group", "_kind"))
+            cuts = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(kind, prepend=-1) != 0))
+            for lo, hi in zip(cuts, [*cuts[1:], len(of)], strict=True):
+                part = table.slice(lo, hi - lo)
+                if of[lo] != group:
+                    if held:
+                        yield from held.result().to_batches()
+                    group, queries, held = of[lo], [], None
+                if not kind[lo]:
+                    queries.append(part.select([f"q_{x}" for x in q]).rename_columns(q))
+                elif queries:
+                    held = held or make(pa.concat_tables(queries))
+                    held.add(part.select([f"c_{x}" for x in c]).rename_columns(c))
+        if held:
+            yield from held.result().to_batches()
+
+    return both.mapInArrow(stream, schema)
+
+
+class _Top:
+    """The n best chunks of each query so far: similarity, then decision and place."""
+
+    def __init__(self, queries: pa.Table, n: int):
+        self.ids, self.matrix, self.n = queries.column("query_id"), _unit(queries.column("vec")), n
+        self.low = np.full(len(self.ids), -np.inf)
+        self.at, self.sim, self.idx, self.names = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32), pa.array([], pa.string())
+        self.more: list = []
+        self.waiting = 0
+
+    def add(self, rows: pa.Table) -> None:
+        if not rows.num_rows or not len(self.ids):
+            return
+        names, places, x = rows.column("decision_id").combine_chunks(), rows.column("idx").to_numpy(), _unit(rows.column("vec"))
+        step = max(1, SIMS // len(x))
+        for lo in range(0, len(self.matrix), step):
+            sims = np.round(self.matrix[lo : lo + step] @ x.T, 12)
+            low = self.low[lo : lo + step]
+            if len(x) > self.n:
+                low = np.maximum(low, np.partition(sims, len(x) - self.n, axis=1)[:, len(x) - self.n])
+            at, c = np.nonzero(sims >= low[:, None])  # all that equal the n-th too
+            self.more.append((at + lo, sims[at, c], places[c], names.take(pa.array(c))))
+            self.waiting += len(at)
+            if self.waiting > max(SIMS, len(self.at)):
+                self.merge()
+
+    def merge(self) -> None:
+        parts = [(self.at, self.sim, self.idx, self.names), *self.more]
+        at, sim, idx = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        names = pa.concat_arrays([p[3] for p in parts])
+        order = np.lexsort((idx, pc.rank(names, tiebreaker="dense").to_numpy(), -sim, at))
+        sorted_at = at[order]
+        order = order[np.arange(len(order)) - np.searchsorted(sorted_at, sorted_at) < self.n]
+        self.at, self.sim, self.idx, self.names, self.more, self.waiting = at[order], sim[order], idx[order], names.take(pa.array(order)), [], 0
+        ends = np.searchsorted(self.at, np.arange(len(self.ids)), "right")
+        full = np.bincount(self.at, minlength=len(self.ids)) == self.n
+        self.low[full] = self.sim[ends[full] - 1]
+
+    def result(self) -> pa.Table:
+        self.merge()
+        return pa.table([self.ids.take(pa.array(self.at)), self.names, pa.array(self.idx, pa.int32()), pa.array(self.sim)], names=["query_id", "decision_id", "idx", "sim"])
+
+
+def vector_topn(queries: DataFrame, chunks: DataFrame | Index, n: int) -> DataFrame:
+    """``(query_id, decision_id, idx, sim)``: each query's n chunks of the highest cosine.
+
+    A task keeps the n best of each query over all batches that it reads; what the tasks have found is merged twice, in groups of
+    tasks and then over the groups. Ties: decision_id, idx. Vectors that are null, hold null or non-finite components, or
+    have another width than the widest query take no part, nor do chunks without a decision or a place in it."""
+    asked, width = _comparable(queries.select("query_id", "vec"))
+    rows = _comparable(as_index(chunks, vectors_only=True).vectors.where("decision_id is not null and idx is not null").select("decision_id", "idx", "vec"), width)[0]
+    schema = T.StructType([queries.schema["query_id"], T.StructField("decision_id", T.StringType()), T.StructField("idx", T.IntegerType()), T.StructField("sim", T.DoubleType())])
+    found = _past(asked, rows, width, lambda table: _Top(table, n), schema)
+    order = [F.desc("sim"), "decision_id", "idx"]
+    groups = math.isqrt(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if groups > 1:
+        w = Window.partitionBy("query_id", "_group").orderBy(*order)
+        found = found.withColumn("_group", F.spark_partition_id() % groups).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n", "_group")
+    w = Window.partitionBy("query_id").orderBy(*order)
     return found.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
@@ -93,26 +181,34 @@ def match_refs(queries: DataFrame, decisions: DataFrame) -> DataFrame:
     return refs.join(named, ["number", "year"]).select("query_id", "decision_id").distinct()
 
 
-def force_refs(scored: DataFrame, refs: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``scored`` with each referenced decision's best chunk at its cosine and 1, in place of its entry there."""
-    pairs = refs.join(queries.select("query_id", F.col("vec").alias("_q")), "query_id").join(chunks.select("decision_id", "idx", "vec"), "decision_id")
-    pairs = pairs.select("query_id", "decision_id", "idx", rounded(cosine(F.col("_q"), F.col("vec"))).alias("sim")).where("sim is not null")
-    w = Window.partitionBy("query_id", "decision_id").orderBy(F.desc("sim"), "idx")
-    best = pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("query_id", "decision_id", "idx", "sim", (F.col("sim") + REFERENCE).alias("score"), F.lit(True).alias("forced"))
+def force_refs(scored: DataFrame, refs: DataFrame, queries: DataFrame, chunks: DataFrame | Index) -> DataFrame:
+    """``scored`` with each referenced decision's best chunk at its cosine and 1, in place of its entry there.
+
+    A decision with many chunks that many queries name is cut into slices of its chunks, each with a copy of the queries, and
+    the best chunk is a maximum of structs, taken in every task before the rows meet."""
+    named = as_index(chunks, vectors_only=True).vectors.where("decision_id is not null and idx is not null").select("decision_id", "idx", "vec").join(refs.select("decision_id").distinct(), "decision_id", "left_semi")
+    sizes = named.groupBy("decision_id").agg(F.count("*").alias("_c")).join(refs.groupBy("decision_id").agg(F.count("*").alias("_r")), "decision_id")
+    slices = sizes.select("decision_id", F.least(F.ceil(F.col("_c") * F.col("_r").cast("double") / PAIRS), F.col("_c")).cast("int").alias("_slices"))
+    asked = refs.join(queries.select("query_id", F.col("vec").alias("_q")), "query_id").join(slices, "decision_id").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+    dealt = named.join(slices, "decision_id").withColumn("_slice", F.pmod(F.xxhash64("idx"), F.col("_slices")).cast("int")).drop("_slices")
+    pairs = asked.join(dealt, ["decision_id", "_slice"]).select("query_id", "decision_id", "idx", rounded(cosine(F.col("_q"), F.col("vec"))).alias("sim")).where("sim is not null")
+    best = pairs.groupBy("query_id", "decision_id").agg(F.max(F.struct("sim", (-F.col("idx")).alias("_minus"))).alias("_b"))
+    best = best.select("query_id", "decision_id", (-F.col("_b._minus")).alias("idx"), F.col("_b.sim").alias("sim"), (F.col("_b.sim") + REFERENCE).alias("score"), F.lit(True).alias("forced"))
     return scored.join(best, ["query_id", "decision_id", "idx"], "left_anti").unionByName(best)
 
 
-def rank_chunks(queries: DataFrame, chunks: DataFrame, decisions: DataFrame, pool: int = 200) -> DataFrame:
-    """``(query_id, decision_id, idx, sim, score, forced)`` of each query's pool and referenced decisions."""
-    features = queries.select("query_id", textnorm.search_tokens(F.col("text")).alias("_tokens"), textnorm.query_numbers(F.col("text")).alias("_numbers"))
-    # Texts are normalized on the chunks' side of the join, once each, and go no further than the count of hits.
-    plain = chunks.select("decision_id", "idx", textnorm.norm_text(F.coalesce("text", F.lit(""))).alias("_plain"))
-    rows = vector_topn(queries, chunks, pool).join(features, "query_id").join(plain, ["decision_id", "idx"])
-    rows = rows.select("query_id", "decision_id", "idx", "sim", "_numbers", keyword_hits(F.col("_tokens"), F.col("_plain")).alias("_hits"))
+def rank_chunks(queries: DataFrame, chunks: DataFrame | Index, decisions: DataFrame, pool: int = 200) -> DataFrame:
+    """``(query_id, decision_id, idx, sim, score, forced)`` of each query's pool and referenced decisions.
+
+    Keyword hits come from the index's postings: no text of a chunk is read."""
+    index = as_index(chunks)
+    tokens = queries.select("query_id", textnorm.search_tokens(F.col("text")).alias("tokens"))
+    rows = token_hits(vector_topn(queries, index, pool), tokens, index)
+    rows = rows.join(queries.select("query_id", textnorm.query_numbers(F.col("text")).alias("_numbers")), "query_id")
     rows = rows.join(decisions.select(F.col("id").alias("decision_id"), "number"), "decision_id", "left")
-    score = F.col("sim") + KEYWORD * F.col("_hits") + number_boost(F.col("_numbers"), F.col("number"))
+    score = F.col("sim") + KEYWORD * F.col("hits") + number_boost(F.col("_numbers"), F.col("number"))
     scored = rows.select("query_id", "decision_id", "idx", "sim", rounded(score).alias("score"), F.lit(False).alias("forced"))
-    return force_refs(scored, match_refs(queries, decisions), queries, chunks)
+    return force_refs(scored, match_refs(queries, decisions), queries, index)
 
 
 def best_per_decision(scored: DataFrame, k: int) -> DataFrame:
@@ -122,34 +218,40 @@ def best_per_decision(scored: DataFrame, k: int) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
 
 
-def target_rank(queries: DataFrame, chunks: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(query_id, decision_id, target_rank)``: the cosine rank, over all chunks, of a wanted decision's best chunk.
+class _Above:
+    """How many chunks so far are nearer to each query than its targets."""
 
-    Targets are one decision per query; chunks above it are counted by a sum in each task. Vectors take part as in
-    ``vector_topn``."""
-    asked, width = _comparable(queries.select("query_id", "vec"))
-    asked = asked.withColumnRenamed("vec", "_q").join(targets, "query_id")
-    vectors = _comparable(chunks.where("decision_id is not null and idx is not null").select("decision_id", "vec"), width)[0]
-    best = asked.join(vectors, "decision_id").groupBy("query_id", "decision_id").agg(F.max(rounded(cosine(F.col("_q"), F.col("vec")))).alias("best"))
-    rows = asked.join(best, ["query_id", "decision_id"]).where("best is not null")
-    blocks = max(1, math.ceil(rows.count() / max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * width)))))
-    id_type, vectors = queries.schema["query_id"].dataType.simpleString(), vectors.select("vec")
-
-    def block(b: int) -> DataFrame:
-        got = (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast((got["query_id"].tolist(), got["decision_id"].tolist(), got["best"].to_numpy(float), _unit(got["_q"].tolist()) if len(got) else None))
-
-        def run(batches):
-            ids, wanted, best, matrix = shared.value
-            above = np.zeros(len(ids), np.int64)
-            for batch in batches:
-                if len(batch) and len(ids):
-                    above += (np.round(_unit(batch["vec"].tolist()) @ matrix.T, 12) > best).sum(0)
-            yield pd.DataFrame({"query_id": ids, "decision_id": wanted, "above": above})
+    def __init__(self, queries: pa.Table):
+        self.ids, self.matrix = queries.column("query_id"), _unit(queries.column("vec"))
+        self.targets = [sorted((t["best"], t["decision_id"]) for t in some) for some in queries.column("targets").to_pylist()]
+        self.bests = [np.array([b for b, _ in some]) for some in self.targets]
+        self.above = [np.zeros(len(some) + 1, np.int64) for some in self.targets]
+
+    def add(self, rows: pa.Table) -> None:
+        x = _unit(rows.column("vec"))
+        step = max(1, SIMS // max(1, len(x)))
+        for lo in range(0, len(self.matrix), step):
+            for q, sims in enumerate(np.round(self.matrix[lo : lo + step] @ x.T, 12), lo):
+                # A similarity counts for all targets below it; the histogram is summed from above at the end.
+                self.above[q] += np.bincount(np.searchsorted(self.bests[q], sims, "left"), minlength=len(self.above[q]))
+
+    def result(self) -> pa.Table:
+        at = np.repeat(np.arange(len(self.targets)), [len(t) for t in self.targets])
+        counts = [np.cumsum(a[::-1])[::-1][1:] for a in self.above]
+        return pa.table([self.ids.take(pa.array(at, pa.int64())), pa.array([d for t in self.targets for _, d in t], pa.string()), pa.array(np.concatenate(counts) if counts else [], pa.int64())], names=["query_id", "decision_id", "above"])
 
-        return vectors.mapInPandas(run, f"query_id {id_type}, decision_id string, above long")
 
-    out = block(0)
-    for b in range(1, blocks):
-        out = out.unionByName(block(b))
+def target_rank(queries: DataFrame, chunks: DataFrame | Index, targets: DataFrame) -> DataFrame:
+    """``(query_id, decision_id, target_rank)``: the cosine rank, over all chunks, of a wanted decision's best chunk.
+
+    ``targets (query_id, decision_id)`` may hold many decisions per query: their best values are sorted, and every
+    similarity is counted between two of them. Vectors take part as in ``vector_topn``."""
+    asked, width = _comparable(queries.select("query_id", "vec"))
+    vectors = _comparable(as_index(chunks, vectors_only=True).vectors.where("decision_id is not null and idx is not null").select("decision_id", "vec"), width)[0]
+    wanted = asked.withColumnRenamed("vec", "_q").join(targets.select("query_id", "decision_id").distinct(), "query_id")
+    best = wanted.join(vectors, "decision_id").groupBy("query_id", "decision_id").agg(F.max(rounded(cosine(F.col("_q"), F.col("vec")))).alias("best"))
+    best = best.where("best is not null").groupBy("query_id").agg(F.collect_list(F.struct("decision_id", "best")).alias("targets"))
+    rows = asked.join(best, "query_id")
+    schema = T.StructType([queries.schema["query_id"], T.StructField("decision_id", T.StringType()), T.StructField("above", T.LongType())])
+    out = _past(rows, vectors.select("vec"), width, _Above, schema)
     return out.groupBy("query_id", "decision_id").agg((F.sum("above") + 1).alias("target_rank"))

@@ -20,6 +20,7 @@ from .operators import context as G
 from .operators import embedding as E
 from .operators import events as H
 from .operators import feed as P
+from .operators import postings as I
 from .operators import ranking as R
 from .operators import tables as U
 from .plans import search as S
@@ -133,8 +134,21 @@ def _query(name: str, sql: str | None = None):
     return keep
 
 
-def _search_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return A.queries(spark, d), A.chunks(spark, d), A.decisions(spark, d)
+_FOLDERS: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> I.Index:
+    """The search index of the given tables: stored by the first search of a session, and read by all of them."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _FOLDERS:
+        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        I.build_index(A.chunks(spark, d), folder)
+        _FOLDERS[key] = folder
+    return I.open_index(spark, _FOLDERS[key])
+
+
+def _search_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, I.Index, DataFrame]:
+    return A.queries(spark, d), _index(spark, d), A.decisions(spark, d)
 
 
 # --- search -----------------------------------------------------------------------------------------------------
@@ -186,10 +200,10 @@ def _(spark, d):
 
 @_query("vector_topn", f"{_SEARCH}, {_pooled(20)} SELECT query_id, decision_id, idx, sim FROM pooled")
 def _(spark, d):
-    return R.vector_topn(A.queries(spark, d), A.chunks(spark, d), 20)
+    return R.vector_topn(A.queries(spark, d), _index(spark, d), 20)
 
 
-_TARGETS = "SELECT item_id AS query_id, CAST(item_id * 3 AS VARCHAR) AS decision_id FROM benchmark"
+_TARGETS = "SELECT item_id AS query_id, CAST(unnest([item_id * 3, item_id * 5 + 1]) AS VARCHAR) AS decision_id FROM benchmark"
 _TARGET_SQL = f"""{_SEARCH}, wanted AS ({_TARGETS}), tops AS (
   SELECT query_id, decision_id, max(sim) AS best FROM sims SEMI JOIN wanted USING (query_id, decision_id) GROUP BY ALL
 ) SELECT t.query_id, t.decision_id, count(*) FILTER (s.sim > t.best) + 1 AS target_rank FROM tops t JOIN sims s USING (query_id) GROUP BY ALL"""
@@ -198,7 +212,8 @@ _TARGET_SQL = f"""{_SEARCH}, wanted AS ({_TARGETS}), tops AS (
 @_query("target_rank", _TARGET_SQL)
 def _(spark, d):
     q, c, _m = _search_inputs(spark, d)
-    return R.target_rank(q, c, q.select("query_id", (F.col("query_id") * 3).cast("string").alias("decision_id")))
+    wanted = F.explode(F.array((F.col("query_id") * 3).cast("string"), (F.col("query_id") * 5 + 1).cast("string")))
+    return R.target_rank(q, c, q.select("query_id", wanted.alias("decision_id")))
 
 
 _KEYWORD_SQL = f"""{_SEARCH}, {_pooled(100)}
@@ -210,10 +225,9 @@ FROM pooled JOIN decisions ON decision_id = decisions.id"""
 @_query("keyword_and_number", _KEYWORD_SQL)
 def _(spark, d):
     q, c, m = _search_inputs(spark, d)
-    asked = q.select("query_id", X.search_tokens(F.col("text")).alias("tokens"), X.query_numbers(F.col("text")).alias("numbers"))
-    plain = c.select("decision_id", "idx", X.norm_text(F.col("text")).alias("plain"))
-    rows = R.vector_topn(q, c, 100).join(asked, "query_id").join(plain, ["decision_id", "idx"]).join(m.select(F.col("id").alias("decision_id"), "number"), "decision_id")
-    return rows.select("query_id", "decision_id", "idx", R.keyword_hits(F.col("tokens"), F.col("plain")).cast("long").alias("hits"), R.number_boost(F.col("numbers"), F.col("number")).alias("boost"))
+    asked = q.select("query_id", X.search_tokens(F.col("text")).alias("tokens"))
+    rows = I.token_hits(R.vector_topn(q, c, 100), asked, c).join(q.select("query_id", X.query_numbers(F.col("text")).alias("numbers")), "query_id").join(m.select(F.col("id").alias("decision_id"), "number"), "decision_id")
+    return rows.select("query_id", "decision_id", "idx", F.col("hits").cast("long").alias("hits"), R.number_boost(F.col("numbers"), F.col("number")).alias("boost"))
 
 
 _JSON_SQL = f"""{_SEARCH}, {_pooled(200)}, {_best(8)}

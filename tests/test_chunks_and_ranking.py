@@ -1,11 +1,15 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from casefile import schemas
+from casefile.functions import textnorm as X
 from casefile.functions import vectors as V
 from casefile.operators import chunking as K
 from casefile.operators import embedding as E
+from casefile.operators import postings as I
 from casefile.operators import ranking as R
 from casefile.plans.search import search, top_chunks
 
@@ -72,6 +76,56 @@ def test_blocks_give_the_same(spark, corpus, monkeypatch):
     assert sorted(map(tuple, R.rank_chunks(queries, chunks, decisions, 9).collect())) == one
 
 
+@pytest.mark.parametrize("strip", [7, 1_000_000])
+def test_many_queries_stream_past_strips(spark, corpus, monkeypatch, strip):
+    vec, chunks, _ = corpus
+    queries = spark.createDataFrame([(f"q{q}", "t", vec[q].tolist()) for q in range(30)], "query_id string, text string, vec array<float>")
+    # Copies of a vector tie; the smaller decision and place win.
+    chunks = chunks.unionByName(chunks.where("decision_id < '5'").withColumn("decision_id", F.concat(F.lit("copy"), "decision_id")))
+    one = sorted(map(tuple, R.vector_topn(queries, chunks, 9).collect()))
+    targets = queries.select("query_id", F.explode(F.array(F.lit("3"), F.lit("copy3"), F.lit("17"), F.lit("none"))).alias("decision_id"))
+    ranks = sorted(map(tuple, R.target_rank(queries, chunks, targets).collect()))
+    assert len(one) == 270 and len(ranks) == 90
+    for name, value in (("BLOCK_QUERIES", 4), ("STRIP_ROWS", strip), ("SIMS", 50)):
+        monkeypatch.setattr(R, name, value)
+    assert sorted(map(tuple, R.vector_topn(queries, chunks, 9).collect())) == one
+    assert sorted(map(tuple, R.target_rank(queries, chunks, targets).collect())) == ranks
+    assert R.vector_topn(queries.limit(0), chunks, 9).count() == 0
+
+
+def test_token_hits_are_substrings(spark, corpus):
+    _, _, decisions = corpus
+    texts = ["Η ΑΠΟΦΑΣΗ του Δήμου, αποφάσεις", "", None, "über-Straße 123abc", "the other theme; breathe", "abc123 ab c"]
+    chunks = spark.createDataFrame([(str(i), j, 1, t, [1.0]) for i, t in enumerate(texts) for j in range(2)], schemas.CHUNKS)
+    asked = spark.createDataFrame([(1, "αποφασ δημ the breath"), (2, "abc 23a tra ber"), (3, "xyz"), (4, "")], "query_id long, text string").select("query_id", X.search_tokens(F.col("text")).alias("tokens"))
+    pool = asked.select("query_id").crossJoin(chunks.select("decision_id", "idx"))
+    want = pool.join(asked, "query_id").join(chunks, ["decision_id", "idx"]).select("query_id", "decision_id", "idx", R.keyword_hits(F.col("tokens"), X.norm_text(F.coalesce("text", F.lit("")))).alias("hits"))
+    got = sorted(map(tuple, I.token_hits(pool, asked, I.as_index(chunks)).collect()))
+    assert got == sorted(map(tuple, want.collect())) and {r[3] for r in got} >= {0, 1, 2}
+
+
+def test_search_reads_texts_of_winners_alone(spark, corpus):
+    vec, chunks, decisions = corpus
+    queries = spark.createDataFrame([(1, "text 101 αρθρο", vec[0].tolist())], "query_id long, text string, vec array<float>")
+    index = I.as_index(chunks)
+    read = re.findall(r"ReadSchema: (\S+)", R.rank_chunks(queries, index, decisions, 9)._jdf.queryExecution().executedPlan().toString())
+    assert read and not any("text:" in r for r in read)
+    assert sorted(map(tuple, search(queries, index, decisions).collect())) == sorted(map(tuple, search(queries, chunks, decisions).collect()))
+
+
+def test_references_to_a_large_decision_are_sliced(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vec = rng.normal(size=(400, 4)).round(1)
+    chunks = spark.createDataFrame([("big", i, 1, "", v.tolist()) for i, v in enumerate(vec)] + [("small", 0, 1, "", [1.0, 0.0, 0.0, 0.0])], schemas.CHUNKS)
+    queries = spark.createDataFrame([(q, "t", rng.normal(size=4).tolist()) for q in range(30)], "query_id long, text string, vec array<float>")
+    refs = queries.select("query_id", F.lit("big").alias("decision_id")).union(queries.where("query_id < 3").select("query_id", F.lit("small")))
+    scored = spark.createDataFrame([(q, "big", i, 0.0, 0.1, False) for q in range(3) for i in range(400)], "query_id long, decision_id string, idx int, sim double, score double, forced boolean")
+    one = sorted(map(tuple, R.force_refs(scored, refs, queries, chunks).collect()))
+    assert len(one) == 1200 - 3 + 33 and sum(r[5] for r in one) == 33
+    monkeypatch.setattr(R, "PAIRS", 50)
+    assert sorted(map(tuple, R.force_refs(scored, refs, queries, chunks).collect())) == one
+
+
 def test_named_decision_comes_first(spark, corpus):
     vec, chunks, decisions = corpus
     # Not near enough for the pool of five, but on the query's side.
