@@ -41,3 +41,34 @@ def test_addresses_and_long_urls(spark):
     entries = spark.createDataFrame([("168.1.1", "block", DAY), ("1.1", "block", DAY), ("[2001:db8::1]", "block", DAY), ("b.c", "block", DAY)], "pattern string, action string, listed_at timestamp")
     got = {r["url"][:9]: (r["blocked"], r["pattern"]) for r in judge_urls(captures, entries).collect()}
     assert got == {"http://10": (False, None), "https://[": (True, "[2001:db8::1]"), "http://a.": (True, "b.c")}
+
+
+def test_far_dates_cost_no_more(spark):
+    """Open entries and captures in 9999 or 1601: an interval is worth the captures that it judges, not the months between."""
+    import time
+
+    far, old = dt.datetime(9999, 12, 31), dt.datetime(1601, 1, 1)
+    entries = [(f"h{i}.org", ("block", "allow")[i % 2], DAY + dt.timedelta(days=i)) for i in range(20)] + [("h3.org", "block", old), ("h4.org", "remove", dt.datetime(2100, 1, 1))]
+    captures = [(i, f"http://h{i % 20}.org/", DAY + dt.timedelta(days=i)) for i in range(200)] + [(1000 + i, f"http://h{i}.org/", t) for i in range(6) for t in (far, old)]
+    a, b = spark.createDataFrame(captures, "id long, url string, fetched_at timestamp"), spark.createDataFrame(entries, "pattern string, action string, listed_at timestamp")
+    judge_urls(a.limit(5), b).collect()
+    begun = time.time()
+    got = sorted((r["id"], r["fetched_at"], r["blocked"], r["since"]) for r in judge_urls(a, b).collect())
+    took = time.time() - begun
+    want = []
+    for i, url, t in captures:
+        active = [(at, action) for host, action, at in entries if f"http://{host}/" == url and at <= t]
+        last = max(active, default=(None, "remove"))
+        want.append((i, t, last[1] == "block", last[0] if last[1] != "remove" else None))
+    assert got == sorted(want, key=lambda w: w[:2]) and took < 20
+
+
+def test_many_entries_of_one_pattern(spark):
+    """Entries by the minute of one host, and months without any: the entry that holds is carried into them."""
+    entries = [("x.org", ("block", "allow", "remove")[i % 3], DAY + dt.timedelta(minutes=37 * i)) for i in range(3_000)]
+    captures = [(i, "http://x.org", DAY + dt.timedelta(hours=i * 5 - 40)) for i in range(1_500)]
+    out = judge_urls(spark.createDataFrame(captures, "id long, url string, fetched_at timestamp"), spark.createDataFrame(entries, "pattern string, action string, listed_at timestamp"))
+    for r in out.collect():
+        active = [(at, a) for _, a, at in entries if at <= r["fetched_at"]]
+        last = max(active, default=(None, "remove"))
+        assert (r["blocked"], r["since"]) == (last[1] == "block", last[0] if last[1] != "remove" else None)
