@@ -67,5 +67,12 @@ def token_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("turn_id"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("token"), F.when(F.col("event_type") == "purchase", F.col("props")).alias("sources"))
 
 
+def answer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token events, and one event per turn that says it is done."""
+    tokens = token_events(spark, sf_dir).withColumn("done", F.lit(False))
+    ends = tokens.groupBy("turn_id").agg((F.max("seq") + 1).alias("seq"), F.max("ts").alias("ts"))
+    return tokens.unionByName(ends.withColumns({"token": F.lit(None).cast("string"), "sources": F.lit(None).cast("string"), "done": F.lit(True)}))
+
+
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("text"))

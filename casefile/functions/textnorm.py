@@ -14,24 +14,54 @@ def collapse_whitespace(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
+def _stripped(c: str) -> str:
+    """A character's decomposition without marks."""
+    return "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+
+
+#: Fixed values of Hangul: first and last syllable, first letters of each kind, vowels and finals of a syllable.
+_HANGUL = (0xAC00, 0xD7A3, 0x1100, 0x1161, 0x11A7, 21, 28)
+
+
 @functools.cache
-def _accents() -> tuple[str, str]:
-    """Characters whose decomposition is one base and marks with their bases, then bare marks (which go)."""
-    pairs, marks = [], []
-    for code in range(0x80, 0x10000):
+def _accents() -> tuple[str, str, dict[str, str]]:
+    """Characters that leave one base, and then bare marks, which leave nothing, with their bases; characters that leave several."""
+    single, marks, several = {}, [], {}
+    for code in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
+        if _HANGUL[0] <= code <= _HANGUL[1]:
+            continue
         c = chr(code)
-        if unicodedata.combining(c):
+        base = _stripped(c)
+        if not base:
             marks.append(c)
-            continue
-        base = [x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)]
-        if len(base) == 1 and base[0] != c:
-            pairs.append((c, base[0]))
-    return "".join(p[0] for p in pairs) + "".join(marks), "".join(p[1] for p in pairs)
+        elif len(base) > 1:
+            several[c] = base
+        elif base != c:
+            single[c] = base
+    return "".join(single) + "".join(marks), "".join(single.values()), several
+
+
+def _spread(c: Column, several: dict[str, str]) -> Column:
+    """A text with its characters that leave several: Hangul syllables by arithmetic on code points, the others by table."""
+    first, last, lead, vowel, final, vowels, finals = _HANGUL
+    char = lambda code: F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
+    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+
+    def one(x: Column) -> Column:
+        k = F.ascii(x) - first  # of a single character ascii gives the code point
+        tail = F.when(k % finals == 0, F.lit("")).otherwise(char(k % finals + final))
+        syllable = F.concat(char(F.floor(k / (vowels * finals)) + lead), char(F.floor(k % (vowels * finals) / finals) + vowel), tail)
+        return F.when(x.between(chr(first), chr(last)), syllable).otherwise(F.coalesce(F.try_element_at(table, x), x))
+
+    return F.array_join(F.transform(F.split(c, ""), one), "")
 
 
 def strip_accents(c: Column) -> Column:
-    """Letters without their accents. Characters of several bases (Hangul syllables) stay whole."""
-    return F.translate(c, *_accents())
+    """The text's canonical decomposition without marks: letters without their accents."""
+    known, bases, several = _accents()
+    some = F.when(c.rlike(f"[{''.join(several)}{chr(_HANGUL[0])}-{chr(_HANGUL[1])}]"), _spread(c, several)).otherwise(c)
+    # Texts of ASCII alone, which are as long in bytes as in characters, have none.
+    return F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(some, known, bases))
 
 
 def norm_text(c: Column) -> Column:
@@ -40,6 +70,7 @@ def norm_text(c: Column) -> Column:
 
 def search_tokens(c: Column) -> Column:
     """Distinct runs of digits and Latin or Greek letters of three characters or more, normalized."""
+    # What a token is made of, here and in the patterns of numbers and references below.
     return F.array_distinct(F.filter(F.split(norm_text(c), "[^0-9a-zα-ω]+"), lambda t: F.length(t) >= 3))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,26 +32,48 @@ def feature_hashing(dim: int = 64) -> Callable[[list[str]], list[np.ndarray]]:
 
 
 def embed_column(df: DataFrame, column: str, make_embedder: Callable[[], Callable] = feature_hashing, out: str = "vec", batch: int = 64) -> DataFrame:
-    """``df`` with the vector of ``column``. The embedder is made once per worker and gets ``batch`` texts at a time; a
-    reply that fails or is short is asked for again one text at a time. Null or empty texts get null."""
+    """``df`` with the vector of ``column``. The embedder is made once per worker and gets ``batch`` texts at a time, across the
+    borders of Arrow's batches, equal texts of neighbouring rows once; a reply that fails or is short is asked for again one
+    text at a time. Null or empty texts get null."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embed = make_embedder()
+        held: deque[pd.Series] = deque()  # whose rows wait for vectors
+        done: dict[str, np.ndarray] = {}  # of texts in held
+        todo: dict[str, None] = {}  # texts to embed, in order
+
+        def ask(n: int) -> None:
+            some = list(todo)[:n]
+            try:
+                got = embed(some)
+            except Exception:
+                got = []
+            if len(got) != len(some):
+                got = [embed([t])[0] for t in some]
+            for t, v in zip(some, got, strict=True):
+                done[t] = np.asarray(v, np.float32)
+                del todo[t]
+
+        def ready() -> Iterator[pd.Series]:
+            while held and all(not t or t in done for t in held[0]):
+                part = held.popleft()
+                yield pd.Series([done[t] if t else None for t in part], dtype=object)
+                kept = {t for p in held for t in p if t}
+                for t in [t for t in done if t not in kept]:
+                    del done[t]
+
         for part in parts:
-            result: list = [None] * len(part)
-            todo = [(i, t) for i, t in enumerate(part) if t]
-            for lo in range(0, len(todo), batch):
-                some = todo[lo : lo + batch]
-                try:
-                    got = embed([t for _, t in some])
-                except Exception:
-                    got = []
-                if len(got) != len(some):
-                    got = [embed([t])[0] for _, t in some]
-                for (i, _), v in zip(some, got, strict=True):
-                    result[i] = np.asarray(v, np.float32)
-            yield pd.Series(result)
+            held.append(part)
+            for t in part:
+                if t and t not in done:
+                    todo[t] = None
+            while len(todo) >= batch:
+                ask(batch)
+            yield from ready()
+        if todo:
+            ask(len(todo))
+        yield from ready()
 
     return df.withColumn(out, run(F.col(column)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,17 +33,18 @@ def parse_token_lines(lines: DataFrame, dialect: str) -> DataFrame:
     return rows.where("token is not null and token != ''").select("turn_id", "seq", "ts", "token")
 
 
-def turn_aggregates() -> list[Column]:
-    """A turn's text in order, and the last sources that are not empty."""
-    tokens = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("seq", "token"))))
-    text = F.array_join(F.transform(tokens, lambda t: t["token"]), "")
-    sources = F.max_by("sources", F.when(F.coalesce("sources", F.lit("")).isin("", "[]"), None).otherwise(F.col("seq")))
-    return [text.alias("text"), sources.alias("sources")]
-
+def assemble_turns(events: DataFrame, span: int = 4_096) -> DataFrame:
+    """``(turn_id, text, sources)`` of ``events (turn_id, seq, token, sources)``; turns without text are left out.
 
-def assemble_turns(events: DataFrame) -> DataFrame:
-    """``(turn_id, text, sources)`` of ``events (turn_id, seq, token, sources)``; turns without text are left out."""
-    return events.groupBy("turn_id").agg(*turn_aggregates()).where("text != ''")
+    Tokens are put together twice: those of ``span`` numbers each first, then these pieces, so that no row holds
+    a long turn token by token. The last sources that are not empty win."""
+    told = ~F.coalesce("sources", F.lit("")).isin("", "[]")
+    tokens = F.array_sort(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("seq", "token"))))
+    piece = F.array_join(F.transform(tokens, lambda t: t["token"]), "")
+    pieces = events.withColumn("_span", F.floor(F.col("seq") / span)).groupBy("turn_id", "_span").agg(piece.alias("piece"), F.max(F.when(told, F.struct("seq", "sources"))).alias("last"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_span", "piece"))), lambda p: p["piece"]), "")
+    turns = pieces.groupBy("turn_id").agg(text.alias("text"), F.max("last").alias("last"))
+    return turns.where("text != ''").select("turn_id", "text", "last.sources")
 
 
 def debounce_queries(events: DataFrame, gap: str = "350 milliseconds", least: int = 2) -> DataFrame:

@@ -1,9 +1,8 @@
-"""A stored search index: vectors, texts and token postings of chunks, each a table of its own.
+"""A stored search index: vectors, texts and token postings of chunks.
 
-A chunk's posting is the array of the numbers of its distinct tokens (runs of digits and Latin or Greek letters of its
-normalized text); the vocabulary table has each token once. Query tokens are made of the same characters, so a query token
-occurs in a chunk's text exactly if it is part of one of the chunk's tokens: keyword hits are joins of numbers, verified on
-the vocabulary, and no text of a chunk takes part."""
+A chunk's posting holds its distinct tokens (runs of digits and Latin or Greek letters of its normalized text), once each.
+Query tokens are made of the same characters, so a query token occurs in a chunk's text exactly if it is part of one of
+the chunk's tokens: keyword hits join the pool with postings, and no text of a chunk is read or normalized by a search."""
 
 from __future__ import annotations
 
@@ -19,36 +18,27 @@ from ..sources.readers import shared_folder
 
 @dataclass(frozen=True)
 class Index:
-    """``vectors (decision_id, idx, vec)``, ``texts (decision_id, idx, text)``, ``postings (decision_id, idx, tokens)`` and
-    ``vocabulary (number, token)``."""
+    """``vectors (decision_id, idx, vec)``, ``texts (decision_id, idx, text)`` and ``postings (decision_id, idx, tokens)``."""
 
     vectors: DataFrame
     texts: DataFrame
     postings: DataFrame | None = None
-    vocabulary: DataFrame | None = None
 
 
 def build_index(chunks: DataFrame, folder: str) -> Index:
-    """Writes the tables of ``chunks (decision_id, idx, text, vec)`` under ``folder``; chunks are computed once."""
+    """Writes the tables of ``chunks (decision_id, idx, text, vec)`` under ``folder``; chunks are computed, and normalized, once."""
     spark = chunks.sparkSession
     chunks.select("decision_id", "idx", "text", "vec").write.parquet(f"{folder}/chunks")
-    texts = spark.read.parquet(f"{folder}/chunks")
-    split = texts.select("decision_id", "idx", textnorm.search_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
-    split.write.parquet(f"{folder}/tokens")
-    split = spark.read.parquet(f"{folder}/tokens")
-    words = split.select(F.explode("tokens").alias("token")).distinct().withColumn("number", F.monotonically_increasing_id())
-    words.write.parquet(f"{folder}/vocabulary")  # tokens are numbered once
-    vocabulary = spark.read.parquet(f"{folder}/vocabulary")
-    numbered = split.select("decision_id", "idx", F.explode("tokens").alias("token")).join(vocabulary, "token")
-    numbered.groupBy("decision_id", "idx").agg(F.collect_list("number").alias("tokens")).write.parquet(f"{folder}/postings")
+    texts = spark.read.parquet(f"{folder}/chunks").select("decision_id", "idx", "text")
+    tokens = F.array_join(textnorm.search_tokens(F.coalesce("text", F.lit(""))), " ")
+    texts.select("decision_id", "idx", tokens.alias("tokens")).write.parquet(f"{folder}/postings")
     return open_index(spark, folder)
 
 
 def open_index(spark: SparkSession, folder: str) -> Index:
     """The index stored under ``folder``."""
-    read = lambda name: spark.read.parquet(f"{folder}/{name}")
-    chunks = read("chunks")
-    return Index(chunks.select("decision_id", "idx", "vec"), chunks.select("decision_id", "idx", "text"), read("postings"), read("vocabulary"))
+    chunks = spark.read.parquet(f"{folder}/chunks")
+    return Index(chunks.select("decision_id", "idx", "vec"), chunks.select("decision_id", "idx", "text"), spark.read.parquet(f"{folder}/postings"))
 
 
 def as_index(chunks: DataFrame | Index, vectors_only: bool = False) -> Index:
@@ -63,13 +53,6 @@ def as_index(chunks: DataFrame | Index, vectors_only: bool = False) -> Index:
 def token_hits(pool: DataFrame, asked: DataFrame, index: Index) -> DataFrame:
     """``pool (query_id, decision_id, idx, ...)`` with ``hits``: how many of the query's tokens occur in the chunk's text.
 
-    ``asked``: ``(query_id, tokens)``. Tokens that the pool of a query holds are looked up in the vocabulary and compared with the
-    query's tokens, once each however many chunks hold them."""
-    held = pool.select("query_id", "decision_id", "idx").join(index.postings, ["decision_id", "idx"])
-    each = held.select("query_id", "decision_id", "idx", F.explode("tokens").alias("number"))
-    distinct = each.select("query_id", "number").distinct().join(index.vocabulary, "number").join(asked.select("query_id", F.col("tokens").alias("_asked")), "query_id")
-    # The query's tokens that are part of the word, by their places in the query's array.
-    parts = F.filter(F.transform("_asked", lambda t, i: F.when(F.contains(F.col("token"), t), i)), lambda i: i.isNotNull())
-    matched = distinct.select("query_id", "number", parts.alias("parts")).where("size(parts) > 0")
-    found = each.join(matched, ["query_id", "number"]).groupBy("query_id", "decision_id", "idx").agg(F.size(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("hits"))
-    return pool.join(found, ["query_id", "decision_id", "idx"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    ``asked``: ``(query_id, tokens)``. Hits are counted where a posting meets the pool's row; only their number goes further."""
+    held = pool.join(index.postings.withColumnRenamed("tokens", "_held"), ["decision_id", "idx"]).join(asked.select("query_id", F.col("tokens").alias("_asked")), "query_id")
+    return held.withColumn("hits", F.size(F.filter("_asked", lambda t: F.contains(F.col("_held"), t)))).drop("_held", "_asked")

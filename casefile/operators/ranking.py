@@ -33,15 +33,18 @@ def _unit(column) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
-def _comparable(rows: DataFrame, width: int | None = None) -> tuple[DataFrame, int]:
-    """Rows whose ``vec`` is finite and of ``width`` (by default the largest there is), and the width."""
+def _comparable(rows: DataFrame, width: int | None = None) -> DataFrame | tuple[DataFrame, int, int]:
+    """Rows whose ``vec`` is finite and of ``width``, the width (by default the largest there is), and how many rows have that."""
     fine = rows.where(F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    width = width or fine.agg(F.max(F.size("vec"))).first()[0] or 1
-    return fine.where(F.size("vec") == width), width
+    if width:
+        return fine.where(F.size("vec") == width)
+    first = fine.groupBy(F.size("vec").alias("width")).count().orderBy(F.desc("width")).first()
+    width, count = first or (1, 0)
+    return fine.where(F.size("vec") == width), width, count
 
 
-def _past(asked: DataFrame, rows: DataFrame, width: int, make: Callable[[pa.Table], object], schema: T.StructType) -> DataFrame:
-    """Every chunk of ``rows`` past every query of ``asked``, which has a ``vec`` and what ``make`` needs.
+def _past(asked: DataFrame, count: int, rows: DataFrame, width: int, make: Callable[[pa.Table], object], schema: T.StructType) -> DataFrame:
+    """Every chunk of ``rows`` past every query of ``asked`` (``count`` rows at most), which has a ``vec`` and what ``make`` needs.
 
     ``make(queries)`` gives an object with ``add(rows)`` and ``result()``. Queries that fit one block are broadcast, and
     chunks stay where they are. More queries are dealt into parts and chunks into strips: a partition holds a part's
@@ -49,7 +52,6 @@ def _past(asked: DataFrame, rows: DataFrame, width: int, make: Callable[[pa.Tabl
     holds one block of them."""
     spark = asked.sparkSession
     block = max(1, min(BLOCK_QUERIES, BLOCK_BYTES // (8 * width)))
-    count = asked.count()
     if not count:
         return spark.createDataFrame([], schema)
     if count <= block:
@@ -150,10 +152,10 @@ def vector_topn(queries: DataFrame, chunks: DataFrame | Index, n: int) -> DataFr
     A task keeps the n best of each query over all batches that it reads; what the tasks have found is merged twice, in groups of
     tasks and then over the groups. Ties: decision_id, idx. Vectors that are null, hold null or non-finite components, or
     have another width than the widest query take no part, nor do chunks without a decision or a place in it."""
-    asked, width = _comparable(queries.select("query_id", "vec"))
-    rows = _comparable(as_index(chunks, vectors_only=True).vectors.where("decision_id is not null and idx is not null").select("decision_id", "idx", "vec"), width)[0]
+    asked, width, count = _comparable(queries.select("query_id", "vec"))
+    rows = _comparable(as_index(chunks, vectors_only=True).vectors.where("decision_id is not null and idx is not null").select("decision_id", "idx", "vec"), width)
     schema = T.StructType([queries.schema["query_id"], T.StructField("decision_id", T.StringType()), T.StructField("idx", T.IntegerType()), T.StructField("sim", T.DoubleType())])
-    found = _past(asked, rows, width, lambda table: _Top(table, n), schema)
+    found = _past(asked, count, rows, width, lambda table: _Top(table, n), schema)
     order = [F.desc("sim"), "decision_id", "idx"]
     groups = math.isqrt(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if groups > 1:
@@ -186,11 +188,11 @@ def force_refs(scored: DataFrame, refs: DataFrame, queries: DataFrame, chunks: D
 
     A decision with many chunks that many queries name is cut into slices of its chunks, each with a copy of the queries, and
     the best chunk is a maximum of structs, taken in every task before the rows meet."""
-    named = as_index(chunks, vectors_only=True).vectors.where("decision_id is not null and idx is not null").select("decision_id", "idx", "vec").join(refs.select("decision_id").distinct(), "decision_id", "left_semi")
-    sizes = named.groupBy("decision_id").agg(F.count("*").alias("_c")).join(refs.groupBy("decision_id").agg(F.count("*").alias("_r")), "decision_id")
-    slices = sizes.select("decision_id", F.least(F.ceil(F.col("_c") * F.col("_r").cast("double") / PAIRS), F.col("_c")).cast("int").alias("_slices"))
+    vectors = as_index(chunks, vectors_only=True).vectors.where("decision_id is not null and idx is not null").select("decision_id", "idx", "vec")
+    counts = vectors.select("decision_id").join(refs.groupBy("decision_id").agg(F.count("*").alias("_r")), "decision_id").groupBy("decision_id", "_r").agg(F.count("*").alias("_c"))
+    slices = counts.select("decision_id", F.least(F.ceil(F.col("_c") * F.col("_r").cast("double") / PAIRS), F.col("_c")).cast("int").alias("_slices"))
     asked = refs.join(queries.select("query_id", F.col("vec").alias("_q")), "query_id").join(slices, "decision_id").withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
-    dealt = named.join(slices, "decision_id").withColumn("_slice", F.pmod(F.xxhash64("idx"), F.col("_slices")).cast("int")).drop("_slices")
+    dealt = vectors.join(slices, "decision_id").withColumn("_slice", F.pmod(F.xxhash64("idx"), F.col("_slices")).cast("int")).drop("_slices")
     pairs = asked.join(dealt, ["decision_id", "_slice"]).select("query_id", "decision_id", "idx", rounded(cosine(F.col("_q"), F.col("vec"))).alias("sim")).where("sim is not null")
     best = pairs.groupBy("query_id", "decision_id").agg(F.max(F.struct("sim", (-F.col("idx")).alias("_minus"))).alias("_b"))
     best = best.select("query_id", "decision_id", (-F.col("_b._minus")).alias("idx"), F.col("_b.sim").alias("sim"), (F.col("_b.sim") + REFERENCE).alias("score"), F.lit(True).alias("forced"))
@@ -246,12 +248,12 @@ def target_rank(queries: DataFrame, chunks: DataFrame | Index, targets: DataFram
 
     ``targets (query_id, decision_id)`` may hold many decisions per query: their best values are sorted, and every
     similarity is counted between two of them. Vectors take part as in ``vector_topn``."""
-    asked, width = _comparable(queries.select("query_id", "vec"))
-    vectors = _comparable(as_index(chunks, vectors_only=True).vectors.where("decision_id is not null and idx is not null").select("decision_id", "vec"), width)[0]
+    asked, width, count = _comparable(queries.select("query_id", "vec"))
+    vectors = _comparable(as_index(chunks, vectors_only=True).vectors.where("decision_id is not null and idx is not null").select("decision_id", "vec"), width)
     wanted = asked.withColumnRenamed("vec", "_q").join(targets.select("query_id", "decision_id").distinct(), "query_id")
     best = wanted.join(vectors, "decision_id").groupBy("query_id", "decision_id").agg(F.max(rounded(cosine(F.col("_q"), F.col("vec")))).alias("best"))
     best = best.where("best is not null").groupBy("query_id").agg(F.collect_list(F.struct("decision_id", "best")).alias("targets"))
     rows = asked.join(best, "query_id")
     schema = T.StructType([queries.schema["query_id"], T.StructField("decision_id", T.StringType()), T.StructField("above", T.LongType())])
-    out = _past(rows, vectors.select("vec"), width, _Above, schema)
+    out = _past(rows, count, vectors.select("vec"), width, _Above, schema)
     return out.groupBy("query_id", "decision_id").agg((F.sum("above") + 1).alias("target_rank"))

@@ -26,7 +26,7 @@ from .operators import tables as U
 from .plans import search as S
 from .plans.refresh import current, publish
 from .sources.readers import extract_pages, read_documents, read_feed, read_results, read_tables, shared_folder, write_results
-from .streaming.jobs import stream_feed_upsert
+from .streaming.jobs import incremental_refresh, stream_assemble_turns, stream_feed_upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -137,22 +137,31 @@ def _query(name: str, sql: str | None = None):
 _FOLDERS: dict[tuple[str, str], str] = {}
 
 
-def _index(spark: SparkSession, d: str) -> I.Index:
-    """The search index of the given tables: stored by the first search of a session, and read by all of them."""
+def _folder(spark: SparkSession, d: str) -> str:
+    """Where the first search of a session has stored the index, queries and decisions of the given tables, for all of them."""
     key = spark.sparkContext.applicationId, d
     if key not in _FOLDERS:
-        folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        folder = f"{shared_folder(spark)}/search-{uuid.uuid4().hex}"
+        A.queries(spark, d).write.parquet(f"{folder}/queries")
+        A.decisions(spark, d).write.parquet(f"{folder}/decisions")
         I.build_index(A.chunks(spark, d), folder)
         _FOLDERS[key] = folder
-    return I.open_index(spark, _FOLDERS[key])
+    return _FOLDERS[key]
 
 
 def _search_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, I.Index, DataFrame]:
-    return A.queries(spark, d), _index(spark, d), A.decisions(spark, d)
+    folder = _folder(spark, d)
+    return spark.read.parquet(f"{folder}/queries"), I.open_index(spark, folder), spark.read.parquet(f"{folder}/decisions")
 
 
 # --- search -----------------------------------------------------------------------------------------------------
 
+@_query("search_index", f"WITH {_WINDOWS} SELECT decision_id, idx, array_to_string(list_sort({_TOKENS.format('text')}), ' ') AS tokens FROM numbered")
+def _(spark, d):
+    index = _search_inputs(spark, d)[1]
+    return index.postings.select("decision_id", F.col("idx").cast("long").alias("idx"), F.array_join(F.array_sort(F.filter(F.split("tokens", " "), lambda t: t != "")), " ").alias("tokens"))
+
+
 _SNIPPET = "CASE WHEN length({0}) > 320 THEN regexp_replace(substring({0}, 1, 320), '(?s) [^ ]*$', '') || '…' ELSE {0} END"
 _TITLE = "'Απόφαση ' || number || '/' || year || CASE WHEN dtype <> '' THEN ' — ' || dtype ELSE '' END"
 _SEARCH_SQL = f"""{_SEARCH}, {_pooled(200)}, {_best(8)}
@@ -186,21 +195,30 @@ def _(spark, d):
     return R.best_per_decision(R.rank_chunks(*_search_inputs(spark, d), pool=60), 5)
 
 
-@_query("force_refs", f"{_SEARCH}, {_pooled(20)} SELECT query_id, decision_id, idx, sim, score FROM forced")
+_FORCE_SQL = f"""{_SEARCH}, {_pooled(20)}, given AS (
+  SELECT query_id, decision_id, idx, sim, sim AS score, false AS forced FROM sims WHERE idx < 2
+) SELECT * FROM given ANTI JOIN forced USING (query_id, decision_id, idx) UNION ALL SELECT query_id, decision_id, idx, sim, score, forced FROM forced"""
+
+
+@_query("force_refs", _FORCE_SQL)
 def _(spark, d):
+    """Scored are all pairs with chunks of the first two places, so that forced chunks replace entries."""
     q, c, m = _search_inputs(spark, d)
-    none = spark.createDataFrame([], "query_id long, decision_id string, idx int, sim double, score double, forced boolean")
-    return R.force_refs(none, R.match_refs(q, m), q, c).drop("forced")
+    first = I.Index(c.vectors.where("idx < 2"), c.texts)
+    scored = R.vector_topn(q, first, first.vectors.count()).select("query_id", "decision_id", "idx", "sim", F.col("sim").alias("score"), F.lit(False).alias("forced"))
+    return R.force_refs(scored, R.match_refs(q, m), q, c).withColumn("idx", F.col("idx").cast("long"))
 
 
 @_query("match_refs", f"{_SEARCH}, {_pooled(1)} SELECT query_id, decision_id FROM refs")
 def _(spark, d):
-    return R.match_refs(A.queries(spark, d), A.decisions(spark, d))
+    q, _c, m = _search_inputs(spark, d)
+    return R.match_refs(q, m)
 
 
 @_query("vector_topn", f"{_SEARCH}, {_pooled(20)} SELECT query_id, decision_id, idx, sim FROM pooled")
 def _(spark, d):
-    return R.vector_topn(A.queries(spark, d), _index(spark, d), 20)
+    q, c, _m = _search_inputs(spark, d)
+    return R.vector_topn(q, c, 20)
 
 
 _TARGETS = "SELECT item_id AS query_id, CAST(unnest([item_id * 3, item_id * 5 + 1]) AS VARCHAR) AS decision_id FROM benchmark"
@@ -540,7 +558,7 @@ def _hits(spark, d):
 
 @_query("context_blocks", f"{_HITS} SELECT query_id, context FROM contexts")
 def _(spark, d):
-    return G.context_blocks(A.queries(spark, d), _hits(spark, d))
+    return G.context_blocks(_search_inputs(spark, d)[0], _hits(spark, d))
 
 
 _PROMPT_SQL = f"""{_HITS}, {_CHATS}, h AS (
@@ -555,7 +573,7 @@ def _(spark, d):
     m = A.messages(spark, d)
     last = m.groupBy("chat_id").agg(F.max("id").alias("id"))
     history = G.history_window(m).join(last, ["chat_id", "id"]).select(F.col("chat_id").alias("query_id"), "history")
-    return G.grounded_prompts(A.queries(spark, d).select("query_id", F.col("text").alias("question")), _hits(spark, d), history)
+    return G.grounded_prompts(_search_inputs(spark, d)[0].select("query_id", F.col("text").alias("question")), _hits(spark, d), history)
 
 
 _SOURCES_SQL = f"""{_HITS}, firsts AS (
@@ -674,9 +692,9 @@ def _feed(spark, d):
     return A.decisions(spark, d).select(F.lit(9).cast("long").alias("recordsTotal"), cells.alias("cells"))
 
 
-@_query("parse_feed_rows", f"WITH {_DECISIONS} SELECT id, number, year, dtype, pdf_url, '01/01/' || year AS source_date FROM decisions WHERE doc_id % 7 <> 0")
+@_query("parse_feed_rows", f"WITH {_DECISIONS} SELECT id, number, year, dtype, pdf_url, '01/01/' || year AS source_date, '[' || array_to_string(list_transform([id, ' ' || dtype, '01/01/' || year, '<a href=' || chr(39) || pdf_url || chr(39) || '>', ''], lambda c: chr(34) || c || chr(34)), ',') || ']' AS raw_json FROM decisions WHERE doc_id % 7 <> 0")
 def _(spark, d):
-    return P.parse_feed_rows(_feed(spark, d)).select("id", "number", "year", "dtype", "pdf_url", "source_date")
+    return P.parse_feed_rows(_feed(spark, d)).select("id", "number", "year", "dtype", "pdf_url", "source_date", "raw_json")
 
 
 @_query("feed_tallies", f"WITH {_DECISIONS} SELECT count(*) FILTER (doc_id % 7 <> 0) AS saved, count(*) FILTER (doc_id % 7 = 0) AS skipped, 9::BIGINT AS announced FROM decisions")
@@ -697,6 +715,33 @@ def _(spark, d):
     return H.parse_token_lines(A.token_events(spark, d).withColumn("line", line), "openai").select("turn_id", "seq", "token")
 
 
+def _quoted(c):
+    """A text as a JSON string."""
+    return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+@_query("parse_gemini_lines", "SELECT user_id AS turn_id, event_id AS seq, event_type || props AS token FROM events WHERE event_id % 5 > 1")
+def _(spark, d):
+    e = A.table(spark, d, "events").select(F.col("user_id").alias("turn_id"), F.col("event_id").alias("seq"), "ts", "event_type", F.col("props").alias("more"))
+    body = F.concat(F.lit('data:{"candidates":[{"content":{"parts":[{"text":'), _quoted(F.col("event_type")), F.lit('},{"other":1},{"text":'), _quoted(F.col("more")), F.lit("}]}}]}"))
+    n = F.col("seq") % 5
+    line = F.when(n == 0, F.lit('data: {"candidates":[{"content')).when(n == 1, F.lit('data: {"candidates":[]}')).otherwise(body)
+    return H.parse_token_lines(e.withColumn("line", line), "gemini").select("turn_id", "seq", "token")
+
+
+_NDJSON_SQL = """WITH marked AS (SELECT *, min(CASE WHEN event_id % 7 = 3 THEN event_id END) OVER (PARTITION BY user_id) AS ends FROM events)
+SELECT user_id AS turn_id, event_id AS seq, event_type AS token FROM marked WHERE event_id % 5 <> 0 AND (ends IS NULL OR event_id <= ends)"""
+
+
+@_query("parse_ndjson_lines", _NDJSON_SQL)
+def _(spark, d):
+    """Every fifth line is broken, or has no text if it is done; a turn ends at its first done line."""
+    done = F.when(F.col("seq") % 7 == 3, F.lit("true")).otherwise(F.lit("false"))
+    body = F.concat(F.lit('{"message":{"content":'), F.when(F.col("seq") % 5 == 0, F.lit('""')).otherwise(_quoted(F.col("token"))), F.lit('},"done":'), done, F.lit("}"))
+    line = F.when((F.col("seq") % 5 == 0) & (F.col("seq") % 7 != 3), F.lit('{"message":{"con')).otherwise(body)
+    return H.parse_token_lines(A.token_events(spark, d).withColumn("line", line), "ndjson").select("turn_id", "seq", "token")
+
+
 # --- sources and streams, over files that the given tables are written to ---------------------------------------
 
 def _pages(spark, d, folder):
@@ -742,3 +787,46 @@ def _(spark, d):
     _pages(spark, d, f"{root}/landing")
     stream_feed_upsert(spark, f"{root}/landing", root, f"{root}/checkpoint").awaitTermination()
     return current(spark, root, "decisions").select("id", "number", "status")
+
+
+_REFRESH_SQL = f"""WITH {_DECISIONS}, {_WINDOWS}, {_CLASSES}, table_now AS (
+  SELECT *, doc_id % 2 = 1 OR doc_id % 4 = 0 AS todo, (doc_id % 2 = 1 OR doc_id % 4 = 0) AND doc_id % 5 <> 0 AS done FROM decisions WHERE doc_id % 2 = 0 OR doc_id % 7 <> 0
+), stored AS (
+  SELECT decision_id, idx, text FROM numbered JOIN table_now ON id = decision_id WHERE done
+  UNION ALL SELECT id, 0, 'old ' || id FROM decisions WHERE doc_id % 3 = 0 AND id NOT IN (SELECT id FROM table_now WHERE done)
+), counted AS (
+  SELECT decision_id, count(*) AS n_stored, sha256(string_agg(text, chr(10) ORDER BY idx)) AS sha FROM stored GROUP BY 1
+)
+SELECT t.id, CASE WHEN done THEN c.status WHEN todo THEN 'error' ELSE t.status END AS status,
+  CASE WHEN done THEN c.text_chars WHEN t.doc_id % 2 = 0 THEN t.text_chars ELSE 0 END AS text_chars,
+  CASE WHEN done THEN c.n_chunks WHEN t.doc_id % 2 = 0 THEN t.n_chunks ELSE 0 END AS n_chunks,
+  coalesce(n_stored, 0) AS n_stored, sha
+FROM table_now t JOIN classed c ON c.decision_id = t.id LEFT JOIN counted s ON s.decision_id = t.id"""
+
+
+@_query("incremental_refresh", _REFRESH_SQL)
+def _(spark, d):
+    """Decisions of even numbers are known, the feed brings the others; every fifth has no fetched page, every third an old chunk."""
+    root, n = f"{shared_folder(spark)}/refresh-{uuid.uuid4().hex}", F.col("id").cast("long")
+    publish(A.decisions(spark, d).where(n % 2 == 0), root, "decisions")
+    old = A.decisions(spark, d).where(n % 3 == 0).select(F.col("id").alias("decision_id"), F.lit(0).alias("idx"), F.lit(1).alias("page"), F.concat(F.lit("old "), "id").alias("text"), F.lit(None).cast("array<float>").alias("vec"))
+    publish(old, root, "chunks")
+    _pages(spark, d, f"{root}/landing")
+    incremental_refresh(spark, f"{root}/landing", root, f"{root}/checkpoint", A.pages(spark, d).where(F.col("decision_id").cast("long") % 5 != 0))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda c: c["text"]), "\n")
+    made = current(spark, root, "chunks").groupBy(F.col("decision_id").alias("id")).agg(F.count("*").alias("n_stored"), F.sha2(texts, 256).alias("sha"))
+    out = current(spark, root, "decisions").join(made, "id", "left")
+    return out.select("id", "status", F.col("text_chars").cast("long").alias("text_chars"), "n_chunks", F.coalesce("n_stored", F.lit(0)).alias("n_stored"), "sha")
+
+
+@_query("stream_assemble_turns", SQL["assemble_turns"])
+def _(spark, d):
+    """The events as a stream of files; each turn closes at its done event."""
+    root = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
+    events = A.answer_events(spark, d)
+    for done in (False, True):  # the stream reads the older files first
+        events.where(F.col("done") == done).write.mode("append").parquet(f"{root}/events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{root}/events")
+    out = stream_assemble_turns(stream).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out")

@@ -169,3 +169,39 @@ def test_topn_leaves_odd_vectors_out(spark):
     assert got == [(1, "a"), (1, "g")]
     targets = spark.createDataFrame([(1, "g"), (2, "a"), (4, "c")], "query_id long, decision_id string")
     assert [tuple(r) for r in R.target_rank(queries, chunks, targets).collect()] == [(1, "g", 2)]
+
+
+def test_batches_cross_arrow_batches(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def make():
+        def embed(texts):
+            with log.open("a") as f:
+                f.write(f"{len(texts)}\n")
+            return [[float(len(t)), float(sum(map(ord, t)))] for t in texts]
+
+        return embed
+
+    texts = [None if i % 11 == 0 else "" if i % 11 == 1 else "x" * (i % 150) + str(i % 150) for i in range(400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = E.embed_column(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1), "t", make).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["i"]: r["vec"] for r in got} == {i: [float(len(t)), float(sum(map(ord, t)))] if t else None for i, t in enumerate(texts)}
+    calls = list(map(int, log.read_text().split()))
+    assert all(n == 64 for n in calls[:-1]) and sum(calls) < len([t for t in texts if t])
+
+
+def test_default_embedder(spark):
+    import zlib
+
+    texts = ["a b a", "Über ÜBER x", "  ", "word " * 50]
+    got = E.embed_column(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()
+    for r in got:
+        want = [0.0] * 64
+        for w in r["t"].lower().split():
+            h = zlib.crc32(w.encode())
+            want[h % 64] += 1 if h >= 1 << 31 else -1
+        length = sum(x * x for x in want) ** 0.5 or 1
+        assert np.allclose(r["vec"], [x / length for x in want], atol=1e-6)

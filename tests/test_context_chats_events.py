@@ -102,3 +102,11 @@ def test_debounce(spark):
         rows.append((1, i, at, text))
     got = [r["text"] for r in H.debounce_queries(spark.createDataFrame(rows, schemas.KEYSTROKES)).orderBy("settled_at").collect()]
     assert got == ["abc", "de"]
+
+
+def test_long_turns_are_put_together_in_pieces(spark):
+    rows = [(1, s, f"t{s} ", "[1]" if s == 40 else "[]" if s == 90 else None) for s in range(-7, 100)] + [(1, 55, None, "[2]"), (2, 0, None, "[3]"), (3, 5, "", None), (3, 7, "b", None), (3, -9, "a", None)]
+    events = spark.createDataFrame(rows, "turn_id long, seq long, token string, sources string").repartition(5)
+    want = [(1, "".join(f"t{s} " for s in range(-7, 100)), "[2]"), (3, "ab", None)]
+    for span in (1, 4, 1_000):
+        assert sorted(map(tuple, H.assemble_turns(events, span).collect())) == want

@@ -61,3 +61,12 @@ def test_snippets(spark, text, want):
 def test_title(spark):
     row = spark.createDataFrame([("1", "2020", "Τ"), (None, "2020", "")], "n string, y string, t string").select(X.decision_title(F.col("n"), F.col("y"), F.col("t")).alias("o")).collect()
     assert [r["o"] for r in row] == ["Απόφαση 1/2020 — Τ", "Απόφαση /2020"]
+
+
+def test_strip_accents_is_the_decomposition_without_marks(spark):
+    """Every code point, alone and between letters, in blocks of 512."""
+    plain = lambda s: "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
+    codes = [*range(1, 0xD800), *range(0xE000, 0x110000)]
+    rows = [(i, "x".join(map(chr, codes[i : i + 512]))) for i in range(0, len(codes), 512)]
+    got = {r["i"]: r["s"] for r in spark.createDataFrame(rows, "i int, t string").select("i", X.strip_accents(F.col("t")).alias("s")).collect()}
+    assert all(got[i] == plain(t) for i, t in rows)
