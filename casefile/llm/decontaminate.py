@@ -12,8 +12,9 @@ at least has no more than its share of the edits.
 Places: of all parts of a text within the bound, that of the least distance is one (of equal ones that which ends first,
 and the shortest that ends there); then, of those that don't overlap it, the next, and so on.
 
-The benchmark is split into blocks of bounded size, each indexed and broadcast on its own; documents are read once per
-block and never shuffled. Walks keep a few numbers per word of a slice of the documents, whatever the items' lengths.
+The benchmark is split into blocks of bounded size. They are searched one after the other, each indexed and broadcast on its own, its
+places written to the shared folder and its index dropped, so driver and executors hold one block's index however large the
+benchmark is; documents are read once per block and never shuffled. Walks keep a few numbers per word of a slice of the documents, whatever the items' lengths.
 
 Defined cases: null and empty texts hold nothing, and items without words are nowhere; items of under five words match
 exactly only, as the bound allows no edit; very long texts and items are compared whole; repeated documents each give
@@ -24,21 +25,25 @@ are not looked at.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from .shared import shared_folder
 from .textbytes import NOT_ALNUM, U, Words, lowered, run_starts, slices
 
 MAX_EDITS = 0.2
 #: Walks, steps that make a key, the least probability of a step to be alike, words of an item or part of one.
 WALKS, BITS, LIKE, LONGEST = 3, 3, 0.4, 64
-#: Bytes of benchmark texts that one broadcast index is made of at most.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark texts that one broadcast index is made of, about; the index of a text takes some 40 times its bytes.
+BLOCK_BYTES = 1 << 20
 
 
 def allowed(n: int, max_edits: float = MAX_EDITS) -> int:
@@ -248,11 +253,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
     blocks = max(1, math.ceil(size / block_bytes))
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     schema = T.StructType([T.StructField(id, docs.schema[id].dataType), T.StructField(item_id, benchmark.schema[item_id].dataType), *[T.StructField(c, T.LongType()) for c in ("distance", "n_words", "from_word", "to_word")]])
-    item_kind = pa.schema([("x", pa.string() if isinstance(benchmark.schema[item_id].dataType, T.StringType) else pa.int64() if isinstance(benchmark.schema[item_id].dataType, T.LongType) else pa.int32())]).field(0).type
+    item_kind = to_arrow_type(benchmark.schema[item_id].dataType)
 
-    def searched(block: int) -> DataFrame:
+    def searched(block: int) -> tuple[DataFrame, Broadcast]:
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in part.collect()], max_edits, recall))  # about block_bytes
+        shared = spark.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in part.collect()], max_edits, recall))  # of about block_bytes of texts
 
         def run(batches):
             index = shared.value
@@ -263,9 +268,13 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
                         cols = list(zip(*found, strict=True))
                         yield pa.RecordBatch.from_arrays([got.column("id").take(pa.array(cols[0])), pa.array(cols[1], item_kind), *[pa.array(c, pa.int64()) for c in cols[2:]]], names=schema.names)
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema), shared
 
-    out = searched(0)
-    for block in range(1, blocks):
-        out = out.unionByName(searched(block))
-    return out
+    if blocks == 1:
+        return searched(0)[0]
+    folder = f"{shared_folder(spark)}/items-{uuid.uuid4().hex}"
+    for block in range(blocks):
+        found, index = searched(block)
+        found.write.mode("append").parquet(folder)
+        index.destroy()
+    return spark.read.schema(schema).parquet(folder)

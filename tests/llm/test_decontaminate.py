@@ -114,3 +114,24 @@ def test_long_items_and_places_in_a_row(spark):
     bench = spark.createDataFrame([(1, " ".join(long)), (2, again)], "item_id long, text string")
     got = sorted(tuple(r) for r in find_items(docs, bench).collect())
     assert got == [(1, 1, 300, 3000, 3, 3003)] + [(2, 2, 0, 24, 24 * k, 24 * k + 24) for k in range(6)]
+
+
+def test_blocks_one_after_the_other(spark, monkeypatch):
+    """A benchmark of several blocks: the same places, one index at a time, ids of any type."""
+    from pyspark import Broadcast
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    items = [(i, " ".join(rng.choice(W) for _ in range(rng.randint(3, 30)))) for i in range(60)]
+    rows = [(i, " ".join([rng.choice(W), items[i][1], rng.choice(W)])) for i in range(60)] + [(99, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(map(tuple, find_items(docs, benchmark).collect()))
+    assert len(one) >= 60
+    gone, destroy = [], Broadcast.destroy
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (gone.append(1), destroy(self, *a)))
+    assert sorted(map(tuple, find_items(docs, benchmark, block_bytes=1500).collect())) == one and len(gone) >= 3
+    small = benchmark.withColumn("item_id", F.col("item_id").cast("short"))
+    assert sorted(map(tuple, find_items(docs, small).collect())) == one
+    exact = benchmark.withColumn("item_id", F.col("item_id").cast("decimal(9,2)"))
+    assert [(d, int(i), *x) for d, i, *x in sorted(map(tuple, find_items(docs, exact, block_bytes=3000).collect()))] == one
