@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "
     """Fit on the labelled documents (1: toxic), at most ``sample_rows`` of them; null labels are left out.
 
     Counting runs on the executors; the driver gets the sample's significant tokens, each in ``least_docs`` documents or
-    more of it, and a few numbers per sampled row: the sample bounds both, whatever the size of the corpus.
+    more of it, and a few numbers per sampled row: the sample bounds both, whatever the size of the corpus and of a text.
     """
     spark = docs.sparkSession
     sample = sampled(docs, labels, toxic, sample_rows, key, text).select("text", F.col("label").alias("toxic"), F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"))
@@ -197,10 +197,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "
                     bad = part.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
                     clean = np.repeat(~bad, np.diff(words.doc))
                     values, share = np.unique(np.round(scores[clean] * 4) / 4, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(bad), pa.array(np.diff(words.doc)), pa.array([max((s for *_, s in x), default=0.0) for x in found]), pa.array([[s for *_, s in x] for x in found], pa.list_(pa.float64())), pa.array([dict(zip(values.tolist(), share.tolist(), strict=True))] + [None] * (len(found) - 1), pa.map_(pa.float64(), pa.int64()))], ["toxic", "n", "best", "each", "clean"])
+                    yield pa.RecordBatch.from_arrays([pa.array(bad), pa.array(np.diff(words.doc)), pa.array([max((s for *_, s in x), default=0.0) for x in found]), pa.array([dict(zip(values.tolist(), share.tolist(), strict=True))] + [None] * (len(found) - 1), pa.map_(pa.float64(), pa.int64()))], ["toxic", "n", "best", "clean"])
 
-    seen = sample.mapInArrow(measure, "toxic boolean, n long, best double, each array<double>, clean map<double,long>").toPandas()
-    sample.unpersist()
+    seen = sample.mapInArrow(measure, "toxic boolean, n long, best double, clean map<double,long>").toPandas()
     share: dict[float, int] = {}
     for m in seen["clean"].dropna():
         for v, c in dict(m).items():
@@ -211,8 +210,19 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", toxic: str = "
     # Moments: the mean number of clean documents' segments above 0 gives K.
     expected = np.exp(-model.lam * clean["best"].to_numpy(float)) * clean["n"].to_numpy(float)
     model.k = float(1.0 / max(np.mean(expected), 1.0)) if len(clean) else 0.1
-    x = np.array([_features(model, n_, [(0, 0, s) for s in each]) for n_, each in zip(seen["n"], seen["each"], strict=True)])
-    model.logistic = tuple(fit_logistic(x, seen["toxic"].to_numpy(float)))
+
+    def weigh(batches):
+        for batch in batches:
+            for f, other in enumerate(others):
+                other.lam, other.k = model.lam, model.k
+                for part, words, _, found in _scan(other, batch.filter(pa.array(batch.column("fold").to_numpy() == f))):
+                    x = np.array([_features(other, k, some) for k, some in zip(np.diff(words.doc), found, strict=True)]).reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.float64()), pa.array(x[:, 0]), pa.array(x[:, 1])], ["toxic", "a", "b"])
+
+    # Segments stay with the executors: two numbers per sampled row come here.
+    weighed = sample.withColumn("toxic", F.col("toxic").cast("double")).mapInArrow(weigh, "toxic double, a double, b double").toPandas()
+    sample.unpersist()
+    model.logistic = tuple(fit_logistic(weighed[["a", "b"]].to_numpy(float).reshape(-1, 2), weighed["toxic"].to_numpy(float)))
     return model
 
 
