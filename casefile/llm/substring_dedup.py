@@ -5,11 +5,11 @@ Repeated-phrase automata. Documents are dealt into shards of bounded size, whose
 1. Every window of 35 words is represented by the six-word phrase in it of the least hash, so equal windows have equal
    phrases. Phrases that occur twice, anywhere, recur.
 2. Windows whose phrase recurs are counted by a hash of 96 bits; those that occur twice are likely passages. Each shard that
-   holds one names another shard that does (or itself, if the window occurs there alone, more than once).
+   holds one names another shard that does, the one before it in a ring of them (or itself, if the window occurs there alone, more than once).
 3. The shard that is named sends the passage: its words, windows that follow each other in one piece.
 4. A shard compiles the phrases of the passages that it was sent into an Aho-Corasick automaton and streams its documents
    through it. The automaton finds every place where a passage may stand; around each, the document is compared with the
-   passage character by character, and stretches of 35 equal words or more are removed.
+   passage character by character as far as they are equal, and stretches of 35 equal words or more are removed.
 
 Hashes only decide which passages travel: what is removed has been found by the automaton and equals, word by word, a
 text that stands elsewhere. No text is compared with its own place.
@@ -149,8 +149,10 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
 
     found = dealt.cogroup(recurring.groupBy("shard")).applyInArrow(windows, "p1 long, p2 int, shard int, n long")
     all_ = Window.partitionBy("p1", "p2")  # a row per shard at most
-    found = found.select("p1", "p2", "shard", F.sum("n").over(all_).alias("n"), F.min("shard").over(all_).alias("low"), F.max("shard").over(all_).alias("high")).where("n > 1")
-    asked = found.select(F.when(F.col("shard") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("shard"), F.col("shard").alias("target"), "p1", "p2")
+    # The shards of a passage stand in a ring: each asks the one before it, so that none answers for all.
+    before = F.coalesce(F.lag("shard").over(all_.orderBy("shard")), F.max("shard").over(all_))
+    found = found.select("p1", "p2", "shard", F.sum("n").over(all_).alias("n"), before.alias("before")).where("n > 1")
+    asked = found.select(F.col("before").alias("shard"), F.col("shard").alias("target"), "p1", "p2")
 
     def pieces(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], []]
@@ -236,7 +238,7 @@ class _Pieces:
     """The passages that a shard was sent, and the automaton of their phrases."""
 
     def __init__(self, sent: pa.Table, window: int, phrase: int):
-        self.window = window
+        self.window, self.phrase = window, phrase
         self.name, self.begin = sent.column("name").to_pylist(), sent.column("from_word").to_pylist()
         self.text = [f" {t} " for t in sent.column("piece").to_pylist()]
         self.units = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in self.text]
@@ -246,8 +248,10 @@ class _Pieces:
             at, _, least, run, _ = _windows(words, window, phrase)
             place = _chosen(at, least, run, window - phrase + 1)
             row = np.searchsorted(words.doc, place, "right") - 1
+            last = -1
             for p, r in zip((place - words.doc[row]).tolist(), (row + piece).tolist(), strict=True):
-                space = np.flatnonzero(self.units[r] == 32)
+                if r != last:
+                    space, last = np.flatnonzero(self.units[r] == 32), r
                 lo, hi = int(space[p]), int(space[p + phrase]) + 1
                 pattern = self.text[r][lo:hi]
                 if pattern in self.automaton:
@@ -258,21 +262,39 @@ class _Pieces:
         self.automaton.make_automaton()
 
     def mark(self, text: str, name: int, gone: np.ndarray) -> None:
-        """Set ``gone`` for the words of ``text`` that lie in ``window`` words or more of a passage."""
-        text = f" {text} "
-        found = {(r, end + 1 - size - lo) for end, (size, places) in self.automaton.iter(text) for r, lo in places}
-        if not found:
-            return
-        units = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        space = np.flatnonzero(units == 32)  # word i stands between spaces i and i + 1
-        for r, shift in found:
-            if self.name[r] == name and space[self.begin[r]] == shift:
-                continue
-            lo, hi = max(0, shift), min(len(units), shift + len(self.units[r]))
-            unlike = np.flatnonzero(units[lo:hi] != self.units[r][lo - shift : hi - shift]) + lo
-            edge = np.concatenate([[lo - 1], unlike, [hi]])
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if b - a > 2 * self.window:  # equal from a + 1 to b, spaces around the words included
-                    i, j = np.searchsorted(space, a + 1), np.searchsorted(space, b) - 1
-                    if j - i >= self.window:
-                        gone[i:j] = True
+        """Set ``gone`` for the words of ``text`` that lie in ``window`` words or more of a passage.
+
+        Around every place of a phrase, text and passage are compared as far as they are equal. Where all words of the windows that hold
+        the place are gone already, there is nothing left to find, so that repetitive texts take no longer than others."""
+        text, units, space = f" {text} ", None, None
+        for end, (size, places) in self.automaton.iter(text):
+            if units is None:
+                units = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+                space = np.flatnonzero(units == 32)  # word i stands between spaces i and i + 1
+            at = end + 1 - size
+            word = int(np.searchsorted(space, at))
+            low, high = max(0, word + self.phrase - self.window), min(len(gone), word + self.window)
+            for r, lo in places:
+                if gone[low:high].all():
+                    break
+                shift = at - lo
+                if self.name[r] == name and space[self.begin[r]] == shift:
+                    continue
+                own = self.units[r]
+                a = at - _equal(units[:at][::-1], own[:lo][::-1])
+                b = at + size + _equal(units[at + size :], own[lo + size :])
+                # Equal from a to b: the words between the first and the last space there.
+                i, j = int(np.searchsorted(space, a)), int(np.searchsorted(space, b)) - 1
+                if j - i >= self.window:
+                    gone[i:j] = True
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """How many units two arrays begin with alike; they are compared in blocks that double."""
+    n, at, block = min(len(a), len(b)), 0, 256
+    while at < n:
+        unlike = a[at : min(n, at + block)] != b[at : min(n, at + block)]
+        if unlike.any():
+            return at + int(unlike.argmax())
+        at, block = at + block, 2 * block
+    return n

@@ -72,3 +72,30 @@ def test_long_texts(spark):
     rows = [(1, long), (2, "x " * 100_000), (3, "y" * 1_000_000), (4, p)]
     got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (500_051, 50), 2: (100_000, 100_000), 3: (1, 0), 4: (50, 50)}
+
+
+def test_repetitive_texts_take_linear_time(spark):
+    """One word, or a few words, again and again: as many words are marked as brute force marks, in time that follows the text."""
+    import time
+
+    took = []
+    for n in (4_000, 32_000):
+        t = " ".join(["a"] * n)
+        pieces = substring_dedup._Pieces(pa.table({"name": [1], "from_word": [0], "piece": [t]}), 35, 6)
+        gone = np.zeros(n, bool)
+        begun = time.time()
+        pieces.mark(t, 1, gone)
+        took.append(time.time() - begun)
+        assert gone.all()
+    assert took[1] < 30 * max(took[0], 0.02)
+    rows = [(1, "a " * 300), (2, "a b c " * 90 + "d"), (3, "x " + "b c a " * 60), (4, "a " * 34), (5, " ".join(f"u{i}" for i in range(80)) + " a" * 40), (6, "e f " * 17), (7, "e f " * 18), (8, "a " * 500_000)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()), key=repr) == expected(rows, 35)
+
+
+def test_passage_of_many_shards(spark):
+    """A passage that every shard holds: the ring of shards gives each of them another's place of it."""
+    p = " ".join(f"p{i}" for i in range(38))
+    rows = [(i, f"{i} q{i} {p} r{i}") for i in range(120)]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=300)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got.collect()), key=repr) == expected(rows, 35)
