@@ -85,7 +85,7 @@ def stream_assemble_turns(events: DataFrame, late: str = "10 minutes") -> DataFr
             text = "".join(t for _, t in sorted(zip(seqs, tokens, strict=True)))
             yield pd.DataFrame({"turn_id": [key[0]], "text": [text], "sources": [sources]})
 
-    rows = events.select("turn_id", "seq", "ts", "token", "sources", done.alias("done")).withWatermark("ts", late)
+    rows = events.select("turn_id", "seq", F.col("ts").cast("timestamp").alias("ts"), "token", "sources", done.alias("done")).withWatermark("ts", late)
     return rows.groupBy("turn_id").applyInPandasWithState(run, _TURN.format(kind), _OPEN, "append", GroupStateTimeout.EventTimeTimeout)
 
 
