@@ -161,3 +161,48 @@ def test_text_of_many_pairs(spark, monkeypatch):
     docs = spark.createDataFrame(rows + [(500, "some other text of its own", "k")], "doc_id long, text string, class_id string")
     got = {r["doc_id"]: (r["class_id"], r["n_links"] > 0) for r in near_classes(docs).collect()}
     assert got == {i: (0, True) for i in range(100)} | {500: (500, False)}
+
+
+def test_all_pairs_of_the_documents(spark):
+    """Every pair of different texts of the 0.01 table by plain dynamic programming: similar ones share a class, and classes hold nothing else."""
+    from collections import Counter
+
+    from casefile.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in queries.QUERIES["op2_near_dedup"](spark, sf).collect()}
+    first: dict = {}
+    for r in sorted(docs, key=lambda r: r["doc_id"]):
+        first.setdefault(r["text"] or "", r["doc_id"])
+    texts = sorted(((len(w := t.split(" ")), i, w, Counter(w)) for t, i in first.items()), key=lambda t: t[:2])
+
+    def distance(a, b, most):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new, low, high = [i], max(1, i - most), min(len(b), i + most)
+            new += [most + 1] * (low - 1)
+            for j in range(low, high + 1):
+                new.append(min(row[j - 1] + (x != b[j - 1]), (row[j] if j < len(row) else most + 1) + 1, new[-1] + 1))
+            row = new + [most + 1] * (len(b) - high)
+        return row[-1]
+
+    links = []
+    for k, (n, i, a, bag) in enumerate(texts):
+        for m, j, b, other in texts[k + 1 :]:
+            most = int(0.2 * m + 1e-9)
+            if m - n > most:
+                break
+            if m - sum(min(c, other[w]) for w, c in bag.items() if w in other) <= most and distance(a, b, most) <= most:
+                links.append((i, j))
+    assert len(links) > 50
+    root = {i: i for i in first.values()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    assert {r["doc_id"]: got[r["doc_id"]][0] for r in docs} == {r["doc_id"]: find(first[r["text"] or ""]) for r in docs}
