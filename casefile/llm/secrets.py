@@ -20,6 +20,7 @@ underscores in front where a name is taken.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]+", 0, 24),
 )
+#: Signs of which every match of a kind has one.
+SIGNS = {"assign": (":=",), "access": (("AKIA",),)}
 #: Least characters of a run that the models read; codes of characters (ASCII).
 LEAST, CODES = 20, 128
 #: What a run is made of.
@@ -39,7 +42,9 @@ _RUN = "[A-Za-z0-9+/_=-]"
 
 
 def _matches(text: Column, kind: str, pattern: str, group: int = 0, least: int = 1) -> Column:
-    """``array<struct<kind, start, end, value>>`` of the matches whose ``group`` has ``least`` characters."""
+    """``array<struct<kind, start, end, value>>`` of the matches whose ``group`` has ``least`` characters.
+
+    Most texts have none: those without a sign that every match has, or without a match, are not cut into pieces."""
     whole, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     each = F.arrays_zip(pieces.alias("piece"), whole.alias("match"), value.alias("value"))
@@ -52,7 +57,11 @@ def _matches(text: Column, kind: str, pattern: str, group: int = 0, least: int =
         found = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["value"].alias("value"))
         return F.struct(F.coalesce(end, start).alias("at"), F.when(F.length(x["value"]) >= least, F.concat(acc["found"], F.array(found))).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(each, F.struct(F.lit(0).alias("at"), none.alias("found")), place, lambda acc: acc["found"])
+    found = F.aggregate(each, F.struct(F.lit(0).alias("at"), none.alias("found")), place, lambda acc: acc["found"])
+    some = text.rlike(pattern)
+    for sign in SIGNS.get(kind, ()):
+        some = reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in sign]) & some
+    return F.when(some, found).otherwise(none)
 
 
 def pattern_spans(text: Column) -> Column:
@@ -124,12 +133,13 @@ def corpus_samples(docs: DataFrame, text: str = "text", id: str = "doc_id", samp
     Random: what the patterns found there (of assignments the value), as it is, in capitals, and its digest in base 64, so
     that no alphabet decides. Ordinary: each different run of six characters or more outside such spans that has no digit."""
     named = docs.select(F.xxhash64(id).alias("h"), F.col(text).cast("string").alias("t")).where("t is not null")
+    # explode_outer, as explode would have the patterns read once more, by a filter on the arrays' sizes, in all documents.
     # Hashes alone are ordered; of a longer table the bound on them picks the documents.
     last = named.select("h").orderBy("h").limit(sample_docs).agg(F.max("h")).first()[0]
     some = named.where(F.col("h") <= (last if last is not None else 0))
     spans = some.select("t", pattern_spans(F.col("t")).alias("base"))
-    value = spans.select(F.explode("base").alias("s")).select(F.col("s.value").alias("v")).where("length(v) >= 16").distinct()
+    value = spans.select(F.explode_outer("base").alias("s")).select(F.col("s.value").alias("v")).where("length(v) >= 16").distinct()
     digest = F.translate(F.base64(F.unhex(F.sha2("v", 256))), "=", "")
     random = value.select(F.explode(F.array("v", F.upper("v"), digest)).alias("text"), F.lit(1).alias("label"))
-    words = some.select(F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z+/_=-]{6,}"), F.lit(0))).alias("text")).distinct().withColumn("label", F.lit(0))
+    words = some.select(F.explode_outer(F.regexp_extract_all("t", F.lit("[A-Za-z+/_=-]{6,}"), F.lit(0))).alias("text")).where("text is not null").distinct().withColumn("label", F.lit(0))
     return random.unionByName(words)
