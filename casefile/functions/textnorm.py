@@ -9,6 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What parts tokens, whole numbers, and references by number and year.
+TOKEN_BREAK = "[^0-9a-zα-ω]+"
+WHOLE_NUMBER = r"(?U)\b([0-9]{1,5})\b"
+REFERENCE = r"(?U)\b([A-Za-zΑ-Ωα-ω]{0,2}[0-9]{1,5})\s*/\s*((?:19|20)[0-9]{2})\b"
+
+
 def collapse_whitespace(c: Column) -> Column:
     """Every run of Unicode white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
@@ -70,20 +76,19 @@ def norm_text(c: Column) -> Column:
 
 def search_tokens(c: Column) -> Column:
     """Distinct runs of digits and Latin or Greek letters of three characters or more, normalized."""
-    # What a token is made of, here and in the patterns of numbers and references below.
-    return F.array_distinct(F.filter(F.split(norm_text(c), "[^0-9a-zα-ω]+"), lambda t: F.length(t) >= 3))
+    return F.array_distinct(F.filter(F.split(norm_text(c), TOKEN_BREAK), lambda t: F.length(t) >= 3))
 
 
 def query_numbers(c: Column) -> Column:
     """Distinct whole numbers of one to five digits."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?U)\b([0-9]{1,5})\b"), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(WHOLE_NUMBER), F.lit(1)))
 
 
 def decision_refs(c: Column) -> Column:
     """Array of (number, year) for every reference NUMBER / YEAR, numbers normalized, each once."""
     from .numbers import normalize_number
 
-    pattern = F.lit(r"(?U)\b([A-Za-zΑ-Ωα-ω]{0,2}[0-9]{1,5})\s*/\s*((?:19|20)[0-9]{2})\b")
+    pattern = F.lit(REFERENCE)
     pairs = F.arrays_zip(F.regexp_extract_all(c, pattern, F.lit(1)).alias("number"), F.regexp_extract_all(c, pattern, F.lit(2)).alias("year"))
     return F.array_distinct(F.transform(pairs, lambda p: F.struct(normalize_number(p["number"]).alias("number"), p["year"].alias("year"))))
 
