@@ -36,7 +36,12 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
 
 
 def _read(spark: SparkSession, root: str, version: int) -> dict:
-    return json.loads("\n".join(r[0] for r in spark.read.text(f"{root}/manifests/{version:012d}.json").collect()))
+    fs, place = _path(spark, f"{root}/manifests/{version:012d}.json")
+    stream = fs.open(place)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def manifest(spark: SparkSession, root: str) -> dict:
@@ -139,14 +144,17 @@ def publish(df: DataFrame, root: str, name: str) -> int:
 def vacuum(spark: SparkSession, root: str, keep_seconds: float = 86_400.0) -> int:
     """Removes manifests that a newer version replaced more than ``keep_seconds`` ago, and table files that only they name.
     Returns how many files and folders went."""
-    held = [_read(spark, root, v) for v in _versions(spark, root)]
-    limit = time.time() - keep_seconds
-    gone = [a for a, b in zip(held, held[1:], strict=False) if b["time"] < limit]
-    if not gone:
-        return 0
-    files = lambda some: {p for m in some for t in m["tables"].values() for p in [*t["base"].values(), *(d["path"] for d in t["deltas"])]}
-    removed = [f"{root}/manifests/{m['version']:012d}.json" for m in gone]
-    removed = [*removed, *(files(gone) - files(m for m in held if m not in gone))]
+    limit, gone = time.time() - keep_seconds, []
+    versions = _versions(spark, root)
+    kept = _read(spark, root, versions[0]) if versions else None
+    for version in versions[1:]:
+        newer = _read(spark, root, version)
+        if newer["time"] >= limit:
+            break
+        gone, kept = [*gone, kept], newer
+    # A file that a version has dropped never comes back: what the oldest kept version does not name, none does.
+    files = lambda m: {p for t in m["tables"].values() for p in [*t["base"].values(), *(d["path"] for d in t["deltas"])]}
+    removed = [*(f"{root}/manifests/{m['version']:012d}.json" for m in gone), *(set().union(*map(files, gone)) - files(kept) if gone else ())]
     for path in removed:
         fs, place = _path(spark, path)
         fs.delete(place, True)

@@ -17,12 +17,12 @@ from ..plans import store
 from ..plans.refresh import refresh_tables
 
 
-def stream_feed_upsert(spark: SparkSession, landing: str, root: str, checkpoint: str) -> StreamingQuery:
+def stream_feed_upsert(spark: SparkSession, landing: str, root: str, checkpoint: str, keep_seconds: float = 86_400.0) -> StreamingQuery:
     """Upserts every landed feed page into the published decision table; pages that come again change nothing. Of rows
     of one id the last wins: that of the newest file (of equally new ones, of the last by name), then the last in it.
 
     A micro-batch writes its parsed rows as a delta, which readers merge: neither the table nor what it has is read or written.
-    The manifest keeps the number of the last batch, so that one that is run again adds nothing."""
+    The manifest keeps the number of the last batch, so that one that is run again adds nothing; versions replaced for ``keep_seconds`` go."""
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         now = store.manifest(spark, root)
@@ -34,6 +34,8 @@ def stream_feed_upsert(spark: SparkSession, landing: str, root: str, checkpoint:
         last = parsed.groupBy("id").agg(F.max_by(F.struct(*parsed.columns), "arrival").alias("row")).select("row.*")
         entry = store.write_delta(last, root, "decisions", now["tables"]["decisions"], F.col("arrival"))
         store.commit(spark, root, {"decisions": entry}, {checkpoint: batch_id})
+        if batch_id % store.FOLD == 0:
+            store.vacuum(spark, root, keep_seconds)
 
     pages = spark.readStream.schema(schemas.FEED).option("multiLine", True).json(landing)
     pages = pages.select("recordsTotal", "data", F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("file"))
@@ -42,7 +44,7 @@ def stream_feed_upsert(spark: SparkSession, landing: str, root: str, checkpoint:
 
 def incremental_refresh(spark: SparkSession, landing: str, root: str, checkpoint: str, pages: DataFrame, min_year: int | None = None, keep_seconds: float = 86_400.0) -> None:
     """One daily run: new metadata, then all pending work, both tables published by one commit; older versions go after ``keep_seconds``."""
-    stream_feed_upsert(spark, landing, root, checkpoint).awaitTermination()
+    stream_feed_upsert(spark, landing, root, checkpoint, keep_seconds).awaitTermination()
     refresh_tables(spark, root, pages, min_year=min_year)
     store.vacuum(spark, root, keep_seconds)
 

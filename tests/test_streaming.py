@@ -156,6 +156,7 @@ def test_what_batches_write_follows_the_batches(spark, tmp_path, monkeypatch):
     now = store.manifest(spark, root)
     assert now["version"] == 51 and len(now["tables"]["decisions"]["deltas"]) < 16
     assert size() - table < 0.4 * table
+    assert store.vacuum(spark, root, 0) > 50 and size() - table < 0.1 * table
     got = {r["id"]: (r["dtype"], r["status"]) for r in P.current(spark, root, "decisions").where("dtype != ''").collect()}
     want = {str(i): ("ΑΛΦΑ" if i % 2 else "ΒΗΤΑ", "embedded") for i in range(50)}
     want |= {str(30_000 + j): ("ΑΛΦΑ" if j % 2 else "ΒΗΤΑ", "new") for j in range(20)}
