@@ -72,7 +72,7 @@ def _postings(docs: DataFrame, wanted: DataFrame, id: str, text: str, owners: in
     # One place per different hash at most: the table that is sent has a fixed bound, whatever the items hold.
     places = wanted.select(F.expr(f"crc32(encode(term, 'UTF-8')) & {slots - 1}").cast("int").alias("p")).distinct()
     table = np.zeros(slots, np.uint8)
-    table[places.toPandas()["p"].to_numpy()] = 1
+    table[places.toArrow().column("p").to_numpy()] = 1
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(table).tobytes())
     kind = docs.schema[id].dataType
     shape = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", kind), T.StructField("owner", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType()))])
