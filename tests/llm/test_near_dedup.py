@@ -2,6 +2,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -206,3 +207,24 @@ def test_all_pairs_of_the_documents(spark):
     for a, b in links:
         root[max(find(a), find(b))] = min(find(a), find(b))
     assert {r["doc_id"]: got[r["doc_id"]][0] for r in docs} == {r["doc_id"]: find(first[r["text"] or ""]) for r in docs}
+
+
+def test_meetings_of_sorted_groups():
+    """Groups that run over batches give the same pairs as a plain double loop, each pair once per batch and split."""
+    rng = np.random.default_rng(3)
+    rows = sorted((int(g), 0, 0, i, int(rng.integers(60, 90)), i % 3, int(rng.integers(-99, 99)), int(rng.integers(1, 4))) for i in range(120) for g in rng.integers(0, 12, 3))
+    g, px, py, ids, n, cls, h, splits = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    n, h, splits, cls = n[ids % len(n)], h[ids % len(h)], splits[ids % len(splits)], cls[ids % len(cls)]
+    largest = cls == 0
+    bits = pa.ListArray.from_arrays(pa.array(np.arange(len(g) + 1) * (near_dedup.BITS // 64), pa.int32()), pa.array(np.zeros(len(g) * near_dedup.BITS // 64, np.int64)))
+    names = ["g", "px", "py", "id", "n", "class", "h", "splits", "largest", "seeks", "sought", "bits"]
+    batch = pa.RecordBatch.from_arrays([*map(pa.array, (g, px, py, ids, n, cls, h, splits, largest, ~largest, np.ones(len(g), bool))), bits], names)
+    want = {frozenset((int(ids[i]), int(ids[j]))) for i in range(len(g)) for j in range(len(g)) if g[i] == g[j] and cls[i] != cls[j] and abs(n[i] - n[j]) <= int(0.2 * max(n[i], n[j]) + 1e-9) and 2 * max(n[i], n[j]) - n[i] - n[j] <= 2 * int(0.2 * max(n[i], n[j]) + 1e-9)}
+    for size in (1, 7, 50, 1000):
+        parts = [batch.slice(lo, size) for lo in range(0, len(g), size)]
+        got = set()
+        for table, begin in near_dedup._whole_groups(iter(parts), ["g", "px", "py"]):
+            for out in near_dedup._meetings(table, begin, 0.8):
+                got |= {frozenset((r["x"], y)) for r in out.to_pylist() for y in r["ys"]}
+        assert got == want and want
+    assert not list(near_dedup._whole_groups(iter([]), ["g"]))
