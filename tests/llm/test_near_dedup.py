@@ -228,3 +228,19 @@ def test_meetings_of_sorted_groups():
                 got |= {frozenset((r["x"], y)) for r in out.to_pylist() for y in r["ys"]}
         assert got == want and want
     assert not list(near_dedup._whole_groups(iter([]), ["g"]))
+
+
+def test_large_keys_are_cut_into_cells(spark, monkeypatch):
+    """Keys of more texts than a cell takes, and lists in many splits, give the same classes and links."""
+    rng = random.Random(5)
+    template = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(f"x{rng.random()}" if rng.random() < 0.11 else w for w in template)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, near_classes(docs).collect()))
+    met = []
+    whole = near_dedup._open_pairs
+    monkeypatch.setattr(near_dedup, "_open_pairs", lambda *a: met.append(1) or whole(*a))
+    monkeypatch.setattr(near_dedup, "KEY_TEXTS", 4)
+    monkeypatch.setattr(near_dedup, "LIST_IDS", 8)
+    got = sorted(map(tuple, near_classes(docs).collect()))
+    assert got == want and met and len({c for _, c, _ in got}) > 1
