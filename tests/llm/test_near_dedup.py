@@ -244,3 +244,29 @@ def test_large_keys_are_cut_into_cells(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "LIST_IDS", 8)
     got = sorted(map(tuple, near_classes(docs).collect()))
     assert got == want and met and len({c for _, c, _ in got}) > 1
+
+
+def test_texts_are_dealt_once_per_task_and_every_pair_meets():
+    """Keys of few and of many texts: each pair with a common key and different classes is found, as by a plain double loop, and a text
+    goes to a task once, however many of its keys are there."""
+    rng = np.random.default_rng(6)
+    h, c = rng.integers(-99, 99, 60), rng.integers(0, 9, 60)
+    split = {k: 1 << k % 3 for k in range(30)}
+    keys = [sorted(rng.choice(30, 5, replace=False).tolist()) for _ in h]
+    bits = [[0] * (near_dedup.BITS // 64)] * 60
+    rows = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array([80] * 60, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(c), pa.array(h), pa.array(c == 0), pa.array(keys, pa.list_(pa.int64())), pa.array([[split[k] for k in ks] for ks in keys], pa.list_(pa.int32()))], ["id", "n", "bits", "class", "h", "largest", "keys", "parts"])
+    want = {frozenset((i, j)) for i in range(60) for j in range(i) if c[i] != c[j] and set(keys[i]) & set(keys[j])}
+    for owners in (1, 40):
+        dealt = near_dedup._deal(rows, owners)
+        places = list(zip(*[dealt.column(k).to_pylist() for k in ("o", "parts", "px", "py")], strict=True))
+        assert len(set(zip(places, dealt.column("id").to_pylist(), strict=True))) == dealt.num_rows
+        got = set()
+        for place in set(places):
+            cell = dealt.filter(pa.array([p == place for p in places]))
+            for out in near_dedup._met(cell, 0.8, 3):
+                for r in out.to_pylist():
+                    pairs = {frozenset(p) for p in zip(r["xs"], r["ys"], strict=True)}
+                    assert set(r["ids"]) == {i for p in pairs for i in p}
+                    got |= pairs
+        assert want and (got == want if owners > 1 else got >= want)
+        assert all(c[i] != c[j] for i, j in map(sorted, got))
