@@ -94,6 +94,16 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(total[-1] if len(total) else 0) + np.repeat(start - total + size, size)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different values in order, a place of each, and each value's number among them; no stable sort, which takes longer."""
+    order = np.argsort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[order[1:]] != values[order[:-1]]
+    which = np.empty(len(values), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return values[order[new]], order[new], which
+
+
 class _Encoder:
     """The tokenizer of a file, and the ids of texts as little-endian 32-bit integers."""
 
@@ -151,7 +161,7 @@ class _Encoder:
         words.end[use] -= marked
         end = words.end[use]
         spaced = (start > offsets[row]) & (data[np.maximum(start - 1, 0)] == 32)
-        key, first, which = np.unique(words.hashes()[use] ^ np.where(spaced, U(0x5851F42D4C957F2D), U(0)), return_index=True, return_inverse=True)
+        key, first, which = _distinct(words.hashes()[use] ^ np.where(spaced, U(0x5851F42D4C957F2D), U(0)))
         new = np.flatnonzero(self.table.find(key) < 0)
         if len(new):
             at = first[new]

@@ -76,3 +76,11 @@ def test_files_are_ordered_by_number(spark):
     rows = [(i, f"part-{n}-x.parquet", 0, [1] * (i + 1)) for i, n in enumerate(("99998", "99999", "100000", "100001"))]
     tokens = spark.createDataFrame(rows, "doc_id long, file string, row long, tokens array<int>")
     assert [r["start"] for r in tf.token_offsets(tokens).orderBy("doc_id").collect()] == [0, 1, 3, 6]
+
+
+def test_distinct_values():
+    """As NumPy's, but for which of equal values' places is given."""
+    values = np.random.default_rng(1).integers(0, 50, 1000).astype(np.uint64)
+    key, place, which = tf._distinct(values)
+    assert (key == np.unique(values)).all() and (values[place] == key).all() and (key[which] == values).all()
+    assert all(len(x) == 0 for x in tf._distinct(values[:0]))
