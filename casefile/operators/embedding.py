@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import cosine
 
+#: Texts whose vectors a worker keeps after their rows have gone out.
+RECENT = 1024
+
 
 def feature_hashing(dim: int = 64) -> Callable[[list[str]], list[np.ndarray]]:
     """A deterministic embedder: signed counts of hashed words, scaled to length 1."""
@@ -33,14 +36,14 @@ def feature_hashing(dim: int = 64) -> Callable[[list[str]], list[np.ndarray]]:
 
 def embed_column(df: DataFrame, column: str, make_embedder: Callable[[], Callable] = feature_hashing, out: str = "vec", batch: int = 64) -> DataFrame:
     """``df`` with the vector of ``column``. The embedder is made once per worker and gets ``batch`` texts at a time, across the
-    borders of Arrow's batches, equal texts of neighbouring rows once; a reply that fails or is short is asked for again one
+    borders of Arrow's batches, equal texts of neighbouring rows once (``RECENT`` texts are remembered); a reply that fails or is short is asked for again one
     text at a time. Null or empty texts get null."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         embed = make_embedder()
         held: deque[pd.Series] = deque()  # whose rows wait for vectors
-        done: dict[str, np.ndarray] = {}  # of texts in held
+        done: dict[str, np.ndarray] = {}  # of texts in held and of recent ones, the oldest first
         todo: dict[str, None] = {}  # texts to embed, in order
 
         def ask(n: int) -> None:
@@ -59,9 +62,10 @@ def embed_column(df: DataFrame, column: str, make_embedder: Callable[[], Callabl
             while held and all(not t or t in done for t in held[0]):
                 part = held.popleft()
                 yield pd.Series([done[t] if t else None for t in part], dtype=object)
-                kept = {t for p in held for t in p if t}
-                for t in [t for t in done if t not in kept]:
-                    del done[t]
+                if len(done) > RECENT:
+                    kept = {t for p in held for t in p if t}
+                    for t in [t for t in done if t not in kept][: len(done) - RECENT]:
+                        del done[t]
 
         for part in parts:
             held.append(part)

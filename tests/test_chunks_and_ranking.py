@@ -193,6 +193,28 @@ def test_batches_cross_arrow_batches(spark, tmp_path):
     assert all(n == 64 for n in calls[:-1]) and sum(calls) < len([t for t in texts if t])
 
 
+def test_equal_texts_of_gone_rows_are_embedded_once(spark, tmp_path):
+    log = tmp_path / "texts"
+
+    def make():
+        def embed(texts):
+            with log.open("a") as f:
+                f.write("".join(f"{t}\n" for t in texts))
+            return [[float(t)] for t in texts]
+
+        return embed
+
+    rows = [(i, str(i % 90)) for i in range(300)] + [(i, str(i)) for i in range(300, 3000)] + [(3000, "7")]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = E.embed_column(spark.createDataFrame(rows, "i int, t string").coalesce(1), "t", make, batch=20).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["i"]: r["vec"] for r in got} == {i: [float(t)] for i, t in rows}
+    asked = log.read_text().split()
+    assert sorted(asked) == sorted([str(i) for i in [*range(90), *range(300, 3000), 7]])  # 7 had been forgotten
+
+
 def test_default_embedder(spark):
     import zlib
 
