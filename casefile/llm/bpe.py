@@ -4,7 +4,8 @@ The encoder reads a text in parts: it normalizes and splits what can no longer c
 than a window is merged window by window: the merge list has a sufficient lookahead, a number of symbols such that a
 token that ends so far from the window's end stays whatever follows; such tokens are emitted and the window moves on.
 Words' tokens are kept in a cache of bounded size. The decoder turns ids into bytes and bytes into text with a state
-machine that holds back an unfinished character.
+machine that holds back an unfinished character. A worker keeps its tokenizer for later tasks, so the cache, too, is
+held beside whatever other jobs do there: two generations of it forget the words that do not come again.
 
 The tokenizer is a file of the ``tokenizers`` library of the word-end kind: NFC, runs of white space to a space, small
 letters, words by pattern, byte symbols, merges, a suffix on a word's last symbol, and special tokens that are cut out
@@ -33,8 +34,8 @@ from .shared import fresh
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 _RUN = regex.compile(rf"[{_SPACE}]+")
-#: Characters read at a time, symbols of a long word merged at a time, words kept in the cache.
-PART, WINDOW, CACHE = 1 << 16, 512, 500_000
+#: Characters read at a time, symbols of a long word merged at a time, words of each of the cache's two generations.
+PART, WINDOW, CACHE = 1 << 16, 512, 200_000
 NONE = 1 << 30
 
 
@@ -84,6 +85,7 @@ class Tokenizer:
         strip = lambda t: t[: -len(self.suffix)] if self.suffix and t.endswith(self.suffix) else t
         self.bytes = [names[i].encode() if i in special else bytes(back[c] for c in strip(names[i])) + (b" " if self.suffix and names[i].endswith(self.suffix) else b"") for i in range(len(names))]
         self.cache: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, symbols: list[str]) -> list[str]:
         """All merges of a sequence of symbols, the least rank first, leftmost first."""
@@ -145,10 +147,12 @@ class Tokenizer:
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of a part between white space, which is one word or several."""
-        ids = tuple(chain.from_iterable(map(self._word, _WORDS.findall(chunk))))
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = tuple(chain.from_iterable(map(self._word, _WORDS.findall(chunk))))
         if len(chunk) <= 64:
             if len(self.cache) >= CACHE:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[chunk] = ids
         return ids
 

@@ -34,6 +34,8 @@ SAMPLE_ROWS = 12_000
 FOLDS = 4
 PREFIXES = (None, 4, 5, 6)
 _BLOOM = 1 << 22
+#: Bytes of text scanned at once; a word takes several hashes, each of an array of its own.
+SCAN_BYTES = 1 << 18
 
 
 def _tokens(words: Words) -> list[np.ndarray]:
@@ -135,7 +137,7 @@ def _features(model: Model, n_words: int, found: list[tuple[int, int, float]]) -
 
 
 def _scan(model: Model, batch: pa.RecordBatch):
-    for part, data, offsets in slices(batch, "text"):
+    for part, data, offsets in slices(batch, "text", SCAN_BYTES):
         words = Words(lowered(data), offsets, NOT_ALNUM)
         scores = model.scores(words)
         positive = np.concatenate([[0], np.cumsum(scores > 0)])[words.doc]

@@ -42,6 +42,19 @@ def test_memory_is_bounded(both):
     assert most < 10 * (bpe.WINDOW + tok.lookahead)
 
 
+def test_cache_forgets_what_does_not_come_again(both, monkeypatch):
+    _, ref = both
+    tok, merged = bpe.Tokenizer(PATH), []
+    monkeypatch.setattr(bpe, "CACHE", 20_000)
+    monkeypatch.setattr(tok, "_word", lambda w: merged.append(w) or bpe.Tokenizer._word(tok, w))
+    for i in range(0, 200_000, 1000):
+        text = " ".join(f"often q{'abcdefghij'[k % 10]}{k:x}" for k in range(i, i + 1000))
+        got = bpe.encode_text(tok, text)
+        assert i % 50_000 or got == ref.encode(text, add_special_tokens=False).ids
+    assert len(tok.cache) + len(tok.older) <= 40_000
+    assert merged.count("often") == 1
+
+
 def test_words_come_back(both):
     tok, _ = both
     assert bpe.decode_ids(tok, bpe.encode_text(tok, "Hello, WORLD! 🙂 déjà")) == "hello , world ! 🙂 déjà "

@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -39,6 +42,21 @@ def test_held_out_accuracy(spark):
     assert hit / (out.toxic == 1).sum() > 0.75 and hit / (out.predicted == 1).sum() > 0.9
 
 
+def test_scan_works_in_bounded_memory():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, 100)) for _ in range(8000)]
+    tokens = np.arange(1, 5, dtype=np.uint64)
+    model, batch = toxicity.Model(tokens, np.ones(len(tokens)), np.ones(len(tokens))), pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    list(toxicity._scan(model, batch.slice(0, 1)))
+    tracemalloc.start()
+    n = 0
+    for part, *_ in toxicity._scan(model, batch):
+        n += part.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(texts) and peak < 32 << 20, peak
+
+
 def test_edge_cases(spark):
     bad = "you are a rotten turnip indeed"
     docs = spark.createDataFrame([(i, bad if i % 2 else f"a quiet day by the sea {i % 7}", "x") for i in range(80)] + [(90, None, "x"), (91, "", "x"), (92, "TURNIP " * 5 + "fine " * 50 + "rotten turnip", "x"), (92, "sea", "x")], "doc_id long, text string, score string")
