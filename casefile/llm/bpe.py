@@ -4,8 +4,8 @@ The encoder reads a text in parts: it normalizes and splits what can no longer c
 than a window is merged window by window: the merge list has a sufficient lookahead, a number of symbols such that a
 token that ends so far from the window's end stays whatever follows; such tokens are emitted and the window moves on.
 Words' tokens are kept in a cache of bounded size. The decoder turns ids into bytes and bytes into text with a state
-machine that holds back an unfinished character. A worker keeps its tokenizer for later tasks, so the cache, too, is
-held beside whatever other jobs do there: two generations of it forget the words that do not come again.
+machine that holds back an unfinished character. A worker keeps its tokenizer, and so the cache, for later tasks until
+one of another operator begins there; two generations of the cache forget the words that do not come again.
 
 The tokenizer is a file of the ``tokenizers`` library of the word-end kind: NFC, runs of white space to a space, small
 letters, words by pattern, byte symbols, merges, a suffix on a word's last symbol, and special tokens that are cut out
@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import fresh
+from .shared import fresh, kept
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -250,13 +250,8 @@ class Decoder:
         return self.state.decode(b"", True)
 
 
-_open: dict[str, Tokenizer] = {}
-
-
 def tokenizer(path: str) -> Tokenizer:
-    if path not in _open:
-        _open[path] = Tokenizer(path)
-    return _open[path]
+    return kept("bpe", path, lambda: Tokenizer(path))
 
 
 def encode_text(tok: Tokenizer, text: str) -> list[int]:

@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from casefile.llm import bpe
+from casefile.llm import bpe, toxicity
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -55,6 +55,13 @@ def test_cache_forgets_what_does_not_come_again(both, monkeypatch):
     assert merged.count("often") == 1
 
 
+def test_tokenizer_goes_with_the_next_operator():
+    tok = bpe.tokenizer(PATH)
+    assert bpe.tokenizer(PATH) is tok
+    list(toxicity._count(iter([])))
+    assert bpe.tokenizer(PATH) is not tok and bpe.encode_text(bpe.tokenizer(PATH), "Hello") == bpe.encode_text(tok, "Hello")
+
+
 def test_words_come_back(both):
     tok, _ = both
     assert bpe.decode_ids(tok, bpe.encode_text(tok, "Hello, WORLD! 🙂 déjà")) == "hello , world ! 🙂 déjà "

@@ -2,12 +2,13 @@ import random
 import tracemalloc
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from casefile.llm import near_dedup
+from casefile.llm import bpe, near_dedup
 from casefile.llm.near_dedup import banded_distance, near_classes
 from casefile.llm.shared import components
 
@@ -270,3 +271,28 @@ def test_texts_are_dealt_once_per_task_and_every_pair_meets():
                     got |= pairs
         assert want and (got == want if owners > 1 else got >= want)
         assert all(c[i] != c[j] for i, j in map(sorted, got))
+
+
+def test_a_worker_sketches_in_little_memory(spark, monkeypatch):
+    made = {}
+
+    def caught(df, f, *rest):
+        made[f.__name__] = f
+        raise InterruptedError
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", caught)
+    with pytest.raises(InterruptedError):
+        near_classes(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"))
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, 300)) for _ in range(4000)]
+    rows = [pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64())]
+    batch = pa.RecordBatch.from_arrays(rows, ["id", "text", "h1", "h2"])
+    tracemalloc.start()
+    # A worker that has encoded texts before: its tokenizer and cached words go when the sketches begin.
+    bpe.encode_text(bpe.tokenizer(public_tokenizers.path("word_bpe_49k.json")), " ".join(f"q{x}" for x in range(50_000)))
+    tracemalloc.reset_peak()
+    held = tracemalloc.get_traced_memory()[0]
+    n = sum(part.num_rows for part in made["sketch"](iter([batch])))
+    left, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert n == len(texts) and left < held - (16 << 20) and peak < held + (8 << 20), (held, left, peak)
