@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import begin, shared_folder
+from .shared import shared_folder, takes_over
 from .textbytes import NOT_ALNUM, U, Words, lowered, run_starts, slices
 
 MAX_EDITS = 0.2
@@ -260,7 +260,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text:
         shared = spark.sparkContext.broadcast(Index([(r["i"], r["t"]) for r in part.collect()], max_edits, recall))  # of about block_bytes of texts
 
         def run(batches):
-            begin("decontaminate")
+            takes_over("decontaminate")
             index = shared.value
             for batch in batches:
                 for got, data, offsets in slices(batch, "text"):

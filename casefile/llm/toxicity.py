@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import begin, fresh
+from .shared import fresh, takes_over
 from .textbytes import NOT_ALNUM, U, Words, lowered, slices
 
 #: Labelled documents learned from at most (those of the smallest hash of the id).
@@ -49,7 +49,7 @@ def _tokens(words: Words) -> list[np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token, documents of each label and fold that hold it."""
-    begin("toxicity")
+    takes_over("toxicity")
     for batch in batches:
         for part, data, offsets in slices(batch, "text"):
             words = Words(lowered(data), offsets, NOT_ALNUM)
@@ -258,7 +258,7 @@ def find_toxic(docs: DataFrame, model: Model, text: str = "text", alpha: float =
     schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(inner, docs.schema, strict=True)] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("passages", passage)])
 
     def run(batches):
-        begin("toxicity")
+        takes_over("toxicity")
         m = shared.value
         for batch in batches:
             for part, words, _, found in _scan(m, batch):
