@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from casefile.llm import bpe, near_dedup
 from casefile.llm.near_dedup import banded_distance, near_classes
-from casefile.llm.shared import components
+from casefile.llm.shared import components, takes_over
 
 
 def distance(a, b):
@@ -287,6 +287,7 @@ def test_a_worker_sketches_in_little_memory(spark, monkeypatch):
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, 300)) for _ in range(4000)]
     rows = [pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array(range(len(texts)), pa.int64()), pa.array(range(len(texts)), pa.int64())]
     batch = pa.RecordBatch.from_arrays(rows, ["id", "text", "h1", "h2"])
+    takes_over("near_dedup")  # what other tests keep in this process goes
     tracemalloc.start()
     # A worker that has encoded texts before: its tokenizer and cached words go when the sketches begin.
     bpe.encode_text(bpe.tokenizer(public_tokenizers.path("word_bpe_49k.json")), " ".join(f"q{x}" for x in range(50_000)))
