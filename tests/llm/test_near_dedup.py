@@ -1,4 +1,5 @@
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 
 from casefile.llm import bpe, near_dedup
 from casefile.llm.near_dedup import banded_distance, near_classes
-from casefile.llm.shared import components, takes_over
+from casefile.llm.shared import SHUFFLE_CLEANUP, components, cut, once, takes_over
 
 
 def distance(a, b):
@@ -297,3 +298,22 @@ def test_a_worker_sketches_in_little_memory(spark, monkeypatch):
     left, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert n == len(texts) and left < held - (16 << 20) and peak < held + (8 << 20), (held, left, peak)
+
+
+def test_shuffles_go_when_their_result_is_kept(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {name for name in files.getAllFiles().mkString("\n").split() if "/shuffle_" in name}
+
+    before, setting = shuffled(), spark.conf.get(SHUFFLE_CLEANUP)
+    numbers = spark.range(1000).selectExpr("id", "id % 7 as k")
+    dealt = cut(numbers.repartition(3, "k"))
+    counts = once(dealt.groupBy("k").count()).toArrow()
+    for _ in range(100):
+        if shuffled() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffled() <= before
+    assert spark.conf.get(SHUFFLE_CLEANUP) == setting
+    assert counts.num_rows == 7 and dealt.count() == 1000 and dealt.groupBy("k").count().count() == 7
