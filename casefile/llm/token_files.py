@@ -7,8 +7,8 @@ alone touches only their pages. Documents are dealt by ranges of their ids, so f
 In a text with single spaces or line breaks between words every space or line break begins or ends a pre-token, and so
 does a comma or full stop after a letter at a word's end. Such parts are encoded on their own: a worker looks up a slice's
 different parts in a table of bounded size (64-bit hashes, ids in one array), and the ``tokenizers`` library encodes those
-that are new: letters alone, a pre-token each, by its model, all others in one call, a line each. All other texts go to
-the library whole.
+that are new: letters, a pre-token each, by its model, ASCII punctuation after them, another, out of those met before, all
+other parts in one call, a line each. All other texts go to the library whole.
 
 Defined cases: null text counts as empty: the end id alone; null ids come first; rows that share an id follow each
 other in the order of their texts' hashes, repeated rows in one file; a very long text is a slice of its own; an empty
@@ -17,9 +17,9 @@ table gives no files' rows; columns named in ``metadata`` are written beside the
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,11 @@ from .textbytes import SPACE, U, Words, slices
 
 #: Bytes of texts whose different words are looked up together.
 SLICE_BYTES = 3 << 20
-END_ID, CACHE = 2, 1_000_000
+END_ID, CACHE, MARKS_KEPT = 2, 1_000_000, 10_000
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
-#: Control characters and white space but for the space and the line break, as bytes; white space beyond
-#: ASCII, as UTF-8.
+#: ASCII punctuation but for the apostrophe, of which a run after letters is a pre-token; control characters
+#: and white space but for the space and the line break, as bytes; white space beyond ASCII, as UTF-8.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _OTHER_BYTES = np.isin(np.arange(256), [1, 9, 11, 12, 13, 28, 29, 30, 31])
 _WIDE_SPACE = {"\x85\xa0": 2, "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000": 3}
 
@@ -91,17 +92,20 @@ class _Table:
 def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The places ``start, start + 1, ...`` of every run of ``size``, one run after the other."""
     total = np.cumsum(size)
-    return np.arange(total[-1] if len(total) else 0) + np.repeat(start - total + size, size)
+    # A slice or a table has less than 2**31 ids.
+    return np.arange(total[-1] if len(total) else 0, dtype=np.int32) + np.repeat((start - total + size).astype(np.int32), size)
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different values in order, a place of each, and each value's number among them; no stable sort, which takes longer."""
-    order = np.argsort(values)
-    new = np.ones(len(values), bool)
-    new[1:] = values[order[1:]] != values[order[:-1]]
-    which = np.empty(len(values), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return values[order[new]], order[new], which
+    """Different values in order, the first place of each, and each value's number among them; only different values are sorted."""
+    coded = pa.array(values).dictionary_encode()
+    found, code = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    # Codes come in order of first places.
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1))
+    order = np.argsort(found)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    return found[order], first[order], number[code]
 
 
 class _Encoder:
@@ -118,30 +122,43 @@ class _Encoder:
         #: Ids of a line break, a comma and a full stop on their own.
         self.alone = np.array([self.whole(c)[0] for c in "\n,."], "<i4")
         self.symbols = byte_symbols()
+        #: Ids of punctuation after letters.
+        self.marks: dict = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<i4")
 
     def parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of the parts, and the ids."""
-        each: list = [None] * len(parts)
-        others, merged = [], self.tok.model.tokenize
-        for i, part in enumerate(parts):
-            text = part.decode()
-            spaced = text[0] == " "
-            if (text[1:] if spaced else text).isalpha():
+        size, own, others, merged = [0] * len(parts), [], [], self.tok.model.tokenize
+        for i, text in enumerate(b"\n".join(parts).decode().split("\n")):
+            letters = text.rstrip(_MARKS)
+            spaced = letters[:1] == " "
+            if (letters[1:] if spaced else letters).isalpha():
+                marks = text[len(letters) :]
                 # The symbol of a small or capital letter is itself.
-                symbols = (self.symbols[32] + text[1:] if spaced else text) if text.isascii() else "".join([self.symbols[b] for b in part])
-                each[i] = [t.id for t in merged(symbols)]
+                symbols = (self.symbols[32] + letters[1:] if spaced else letters) if letters.isascii() else "".join([self.symbols[b] for b in letters.encode()])
+                ids = [t.id for t in merged(symbols)]
+                if marks:
+                    if marks not in self.marks:
+                        if len(self.marks) >= MARKS_KEPT:
+                            self.marks.clear()
+                        self.marks[marks] = self.whole(marks).tolist()
+                    ids += self.marks[marks]
+                size[i] = len(ids)
+                own += ids  # one list, as many small ones keep the garbage collector busy
             else:
                 others.append((i, text))
         # A line break is a pre-token of its own and in no part.
-        ids = self.whole("\n".join([t for _, t in others])).tolist()
-        at = 0
-        for i, _ in others:
-            end = ids.index(int(self.alone[0]), at) if i != others[-1][0] else len(ids)
-            each[i], at = ids[at:end], end + 1
-        return np.array([len(x) for x in each], np.int64), np.array(list(chain.from_iterable(each)), "<i4")
+        ids = self.whole("\n".join([t for _, t in others]))
+        breaks = np.flatnonzero(ids == self.alone[0])
+        at, size = [i for i, _ in others], np.array(size, np.int64)
+        size[at] = np.diff(np.concatenate([[-1], breaks, [len(ids)]]))[: len(at)] - 1
+        whose = np.zeros(len(parts), bool)
+        whose[at] = True
+        whose, out = np.repeat(whose, size), np.empty(size.sum(), "<i4")
+        out[~whose], out[whose] = own, np.delete(ids, breaks)
+        return size, out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of every text of a slice."""
@@ -227,8 +244,8 @@ def token_offsets(tokens: DataFrame, id: str = "doc_id") -> DataFrame:
     def run(batches):
         for batch in batches:
             lists = batch.column("tokens")
-            values, offsets = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
-            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            values, offsets = lists.values.to_numpy().astype("<i4", copy=False), lists.offsets.to_numpy()
+            crc = [zlib.crc32(values[a:b]) for a, b in itertools.pairwise(offsets.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("file"), batch.column("row"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], names=schema.names)
 
     each = cut(tokens.select(F.col(id).alias("id"), "tokens", "file", "row").mapInArrow(run, schema))

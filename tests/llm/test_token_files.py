@@ -84,3 +84,16 @@ def test_distinct_values():
     key, place, which = tf._distinct(values)
     assert (key == np.unique(values)).all() and (values[place] == key).all() and (key[which] == values).all()
     assert all(len(x) == 0 for x in tf._distinct(values[:0]))
+
+
+def test_punctuation_after_letters_is_looked_up(monkeypatch):
+    encoder, rng, asked = tf._Encoder(public_tokenizers.path("byte_bpe_50k.json")), np.random.default_rng(3), []
+    monkeypatch.setattr(tf, "MARKS_KEPT", 5)
+    parts = [" word###", "étude***", " word,***", "don't", "it's,", "x'", "12,", "--", " é"] + sorted({"".join(rng.choice(list("abéß1'.,#*-%"), rng.integers(1, 7))) for _ in range(2000)})
+    whole = encoder.whole
+    monkeypatch.setattr(encoder, "whole", lambda text: asked.append(text) or whole(text))
+    size, ids = encoder.parts([p.encode() for p in parts])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [encoder.tok.encode(p, add_special_tokens=False).ids for p in parts]
+    assert not any("word" in text or "étude" in text for text in asked) and len(encoder.marks) <= 5
+    size, ids = encoder.parts([b"ab##"])
+    assert ids.tolist() == encoder.tok.encode("ab##", add_special_tokens=False).ids
