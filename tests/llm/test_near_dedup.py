@@ -1,3 +1,4 @@
+import os
 import random
 import time
 import tracemalloc
@@ -8,10 +9,11 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from casefile.llm import bpe, near_dedup
 from casefile.llm.near_dedup import banded_distance, near_classes
-from casefile.llm.shared import SHUFFLE_CLEANUP, components, cut, once, takes_over
+from casefile.llm.shared import SHUFFLE_CLEANUP, among, components, cut, once, takes_over
 
 
 def distance(a, b):
@@ -317,3 +319,58 @@ def test_shuffles_go_when_their_result_is_kept(spark):
     assert shuffled() <= before
     assert spark.conf.get(SHUFFLE_CLEANUP) == setting
     assert counts.num_rows == 7 and dealt.count() == 1000 and dealt.groupBy("k").count().count() == 7
+
+
+def written(spark, since=-1):
+    """Bytes that stages after ``since`` wrote to shuffle files, and the last stage."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    found = [(s.stageId(), s.shuffleWriteBytes()) for s in (stages.apply(i) for i in range(stages.size()))]
+    return sum(b for k, b in found if k > since), max(k for k, _ in found)
+
+
+def mostly_unlike():
+    """Ids and texts of 600 words, of which five have a copy with 20 words replaced."""
+    rng = random.Random(12)
+    texts = [[f"{rng.random()}" for _ in range(600)] for _ in range(200)]
+    return list(enumerate(" ".join(t) for t in texts + [edited(rng, t, 20) for t in texts[:5]]))
+
+
+def test_unlike_texts_are_not_shuffled(spark, monkeypatch):
+    """Where ids are too many to be broadcast, texts without a candidate stay where they are, and sketches go once they are read."""
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+    rows, threshold = mostly_unlike(), "spark.sql.autoBroadcastJoinThreshold"
+    docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    docs.count()
+    cut(spark.range(1))
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    kept_bytes = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+    disk, last = kept_bytes(), written(spark)[1]
+    spark.conf.set(threshold, "-1")  # as if the table were large
+    try:
+        got = {r["doc_id"]: r["class_id"] for r in near_classes(docs).collect()}
+    finally:
+        spark.conf.unset(threshold)
+    assert got == {i: i - 200 if i >= 200 else i for i, _ in rows}
+    assert written(spark, last)[0] < 0.5 * sum(len(t) for _, t in rows)
+    assert kept_bytes() - disk < 8 * near_dedup.SKETCHES * len(rows)
+
+
+def test_among_misses_none(spark):
+    ids = spark.range(0, 30_000, 3).select("id")
+    test = among(ids, 10_000)
+    rows = spark.range(30_000).select("id", test(F.col("id")).alias("may")).collect()
+    assert all(r["may"] for r in rows if r["id"] % 3 == 0)
+    assert sum(r["may"] for r in rows if r["id"] % 3) < 2_500
+
+
+def test_fitting_pairs_hold_all_similar_ones(spark):
+    rng = random.Random(13)
+    a = [[f"{rng.randrange(40)}" for _ in range(n)] for n in (3, 10, 50, 200) for _ in range(10)]
+    b = [edited(rng, t, rng.randrange(len(t) // 2 + 1)) for t in a]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(a + b)], "id long, text string")
+    pairs = spark.createDataFrame([(i, i + len(a)) for i in range(len(a))], "a long, b long")
+    got = {r["a"] for r in near_dedup._fitting(pairs, docs, 0.8).collect()}
+    want = {i for i, (x, y) in enumerate(zip(a, b, strict=True)) if distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)}
+    assert want <= got < set(range(len(a))) and want
