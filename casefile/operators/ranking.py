@@ -22,6 +22,8 @@ from .postings import Index, as_index, token_hits
 BLOCK_BYTES, BLOCK_QUERIES, SIMS = 32 << 20, 4_096, 1 << 21
 #: Chunks that are streamed past a block of queries where there are several blocks, and pairs of a referenced decision in a task.
 STRIP_ROWS, PAIRS = 4_000_000, 1_000_000
+#: Pairs in a batch of all similarities; forced entries up to which they are broadcast to the scored ones.
+PAIR_ROWS, BROADCAST_FORCED = 1 << 16, 250_000
 KEYWORD, NUMBER, REFERENCE = 0.03, 0.25, 1.0
 
 
@@ -46,7 +48,7 @@ def _comparable(rows: DataFrame, width: int | None = None) -> DataFrame | tuple[
 def _past(asked: DataFrame, count: int, rows: DataFrame, width: int, make: Callable[[pa.Table], object], schema: T.StructType) -> DataFrame:
     """Every chunk of ``rows`` past every query of ``asked`` (``count`` rows at most), which has a ``vec`` and what ``make`` needs.
 
-    ``make(queries)`` gives an object with ``add(rows)`` and ``result()``. Queries that fit one block are broadcast, and
+    ``make(queries)`` gives an object with ``add(rows)``, which may give batches of the result, and ``result()``. Queries that fit one block are broadcast, and
     chunks stay where they are. More queries are dealt into parts and chunks into strips: a partition holds a part's
     queries first and then a strip's chunks, which stream by, so that one pass serves all queries and a task
     holds one block of them."""
@@ -64,7 +66,7 @@ def _past(asked: DataFrame, count: int, rows: DataFrame, width: int, make: Calla
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = make(pa.ipc.open_stream(sent.value).read_all())
             for batch in batches:
-                held.add(pa.Table.from_batches([batch]))
+                yield from held.add(pa.Table.from_batches([batch])) or ()
             yield from held.result().to_batches()
 
         return rows.mapInArrow(run, schema)
@@ -96,7 +98,7 @@ def _past(asked: DataFrame, count: int, rows: DataFrame, width: int, make: Calla
                     queries.append(part.select([f"q_{x}" for x in q]).rename_columns(q))
                 elif queries:
                     held = held or make(pa.concat_tables(queries))
-                    held.add(part.select([f"c_{x}" for x in c]).rename_columns(c))
+                    yield from held.add(part.select([f"c_{x}" for x in c]).rename_columns(c)) or ()
         if held:
             yield from held.result().to_batches()
 
@@ -146,6 +148,40 @@ class _Top:
         return pa.table([self.ids.take(pa.array(self.at)), self.names, pa.array(self.idx, pa.int32()), pa.array(self.sim)], names=["query_id", "decision_id", "idx", "sim"])
 
 
+class _All:
+    """The similarity of every chunk to each query, given at once: nothing is held."""
+
+    def __init__(self, queries: pa.Table):
+        self.ids, self.matrix = queries.column("query_id").combine_chunks(), _unit(queries.column("vec"))
+
+    def add(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not rows.num_rows or not len(self.ids):
+            return
+        names, places, x = rows.column("decision_id").combine_chunks(), rows.column("idx").combine_chunks(), _unit(rows.column("vec"))
+        step = max(1, PAIR_ROWS // len(x))
+        for lo in range(0, len(self.matrix), step):
+            for at in range(0, len(x), PAIR_ROWS):
+                sims = np.round(self.matrix[lo : lo + step] @ x[at : at + PAIR_ROWS].T, 12)
+                q, c = (pa.array(i.ravel()) for i in np.indices(sims.shape))
+                some = pc.add(c, at)
+                yield pa.RecordBatch.from_arrays([self.ids.take(pc.add(q, lo)), names.take(some), places.take(some), pa.array(sims.ravel())], ["query_id", "decision_id", "idx", "sim"])
+
+    def result(self) -> pa.Table:
+        return pa.table({})
+
+
+def _found(queries: DataFrame) -> T.StructType:
+    return T.StructType([queries.schema["query_id"], T.StructField("decision_id", T.StringType()), T.StructField("idx", T.IntegerType()), T.StructField("sim", T.DoubleType())])
+
+
+def similarities(queries: DataFrame, chunks: DataFrame | Index) -> DataFrame:
+    """``(query_id, decision_id, idx, sim)`` of every query with every chunk: as many rows as pairs, made where the chunks are, without
+    a sort or a shuffle of pairs. Vectors take part as in ``vector_topn``."""
+    asked, width, count = _comparable(queries.select("query_id", "vec"))
+    rows = _comparable(as_index(chunks, vectors_only=True).vectors.where("decision_id is not null and idx is not null").select("decision_id", "idx", "vec"), width)
+    return _past(asked, count, rows, width, _All, _found(queries))
+
+
 def vector_topn(queries: DataFrame, chunks: DataFrame | Index, n: int) -> DataFrame:
     """``(query_id, decision_id, idx, sim)``: each query's n chunks of the highest cosine.
 
@@ -154,8 +190,7 @@ def vector_topn(queries: DataFrame, chunks: DataFrame | Index, n: int) -> DataFr
     have another width than the widest query take no part, nor do chunks without a decision or a place in it."""
     asked, width, count = _comparable(queries.select("query_id", "vec"))
     rows = _comparable(as_index(chunks, vectors_only=True).vectors.where("decision_id is not null and idx is not null").select("decision_id", "idx", "vec"), width)
-    schema = T.StructType([queries.schema["query_id"], T.StructField("decision_id", T.StringType()), T.StructField("idx", T.IntegerType()), T.StructField("sim", T.DoubleType())])
-    found = _past(asked, count, rows, width, lambda table: _Top(table, n), schema)
+    found = _past(asked, count, rows, width, lambda table: _Top(table, n), _found(queries))
     order = [F.desc("sim"), "decision_id", "idx"]
     groups = math.isqrt(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if groups > 1:
@@ -196,7 +231,10 @@ def force_refs(scored: DataFrame, refs: DataFrame, queries: DataFrame, chunks: D
     pairs = asked.join(dealt, ["decision_id", "_slice"]).select("query_id", "decision_id", "idx", rounded(cosine(F.col("_q"), F.col("vec"))).alias("sim")).where("sim is not null")
     best = pairs.groupBy("query_id", "decision_id").agg(F.max(F.struct("sim", (-F.col("idx")).alias("_minus"))).alias("_b"))
     best = best.select("query_id", "decision_id", (-F.col("_b._minus")).alias("idx"), F.col("_b.sim").alias("sim"), (F.col("_b.sim") + REFERENCE).alias("score"), F.lit(True).alias("forced"))
-    return scored.join(best, ["query_id", "decision_id", "idx"], "left_anti").unionByName(best)
+    # Scored entries may be very many: they stay where they are while the forced ones are few.
+    few = refs.join(slices, "decision_id").limit(BROADCAST_FORCED + 1).count() <= BROADCAST_FORCED
+    forced = best.select("query_id", "decision_id", "idx")
+    return scored.join(F.broadcast(forced) if few else forced, ["query_id", "decision_id", "idx"], "left_anti").unionByName(best)
 
 
 def rank_chunks(queries: DataFrame, chunks: DataFrame | Index, decisions: DataFrame, pool: int = 200) -> DataFrame:

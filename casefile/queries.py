@@ -205,7 +205,7 @@ def _(spark, d):
     """Scored are all pairs with chunks of the first two places, so that forced chunks replace entries."""
     q, c, m = _search_inputs(spark, d)
     first = I.Index(c.vectors.where("idx < 2"), c.texts)
-    scored = R.vector_topn(q, first, first.vectors.count()).select("query_id", "decision_id", "idx", "sim", F.col("sim").alias("score"), F.lit(False).alias("forced"))
+    scored = R.similarities(q, first).select("query_id", "decision_id", "idx", "sim", F.col("sim").alias("score"), F.lit(False).alias("forced"))
     return R.force_refs(scored, R.match_refs(q, m), q, c).withColumn("idx", F.col("idx").cast("long"))
 
 

@@ -126,6 +126,41 @@ def test_references_to_a_large_decision_are_sliced(spark, monkeypatch):
     assert sorted(map(tuple, R.force_refs(scored, refs, queries, chunks).collect())) == one
 
 
+def test_all_similarities_without_a_shuffle(spark, corpus, monkeypatch):
+    vec, chunks, _ = corpus
+    queries = spark.createDataFrame([(q, "t", v) for q, v in enumerate(vec[:5].tolist() + [[0.0] * vec.shape[1], None])], "query_id long, text string, vec array<float>")
+    total = chunks.where("vec is not null").count()
+    want = sorted(map(tuple, R.vector_topn(queries, chunks, total).collect()))
+    for rows, block in ((1 << 16, R.BLOCK_QUERIES), (7, R.BLOCK_QUERIES), (7, 2)):  # in one piece, in pieces, and queries in several blocks
+        monkeypatch.setattr(R, "PAIR_ROWS", rows)
+        monkeypatch.setattr(R, "BLOCK_QUERIES", block)
+        out = R.similarities(queries, chunks)
+        assert len(want) == 6 * total and sorted(map(tuple, out.collect())) == want
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and (block == 2 or "Exchange" not in plan)
+
+
+def test_few_forced_entries_leave_scored_ones_where_they_are(spark, monkeypatch):
+    """Scored entries are not dealt by key while the forced ones can be broadcast, whatever their estimated size."""
+    monkeypatch.setattr(R, "PAIRS", 50)
+    chunks = spark.createDataFrame([("big", i, 1, "", [1.0, float(i)]) for i in range(100)], schemas.CHUNKS)
+    queries = spark.createDataFrame([(q, "t", [1.0, float(q)]) for q in range(3)], "query_id long, text string, vec array<float>")
+    refs = queries.select("query_id", F.lit("big").alias("decision_id"))
+    scored = spark.range(100).selectExpr("id % 3 as query_id", "'big' as decision_id", "cast(id as int) as idx", "0.0D as sim", "0.1D as score", "false as forced")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = []
+        for most, kind in ((R.BROADCAST_FORCED, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+            monkeypatch.setattr(R, "BROADCAST_FORCED", most)
+            out = R.force_refs(scored, refs, queries, chunks)
+            anti = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "LeftAnti" in x]
+            assert anti and all(kind in x for x in anti)
+            got.append(sorted(map(tuple, out.collect())))
+        assert got[0] == got[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_named_decision_comes_first(spark, corpus):
     vec, chunks, decisions = corpus
     # Not near enough for the pool of five, but on the query's side.
